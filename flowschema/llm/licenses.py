@@ -82,9 +82,9 @@ WITH k AS (SELECT license, sha256({_sql_canonical("body")}) AS digest FROM (VALU
 d AS (SELECT doc_id, sha256({_sql_canonical("coalesce(text, '')")}) AS text_digest,
              list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(lower(x), 'licen[sc]e')),
                             lambda x: sha256({line})) AS lines FROM documents),
-m AS (SELECT map(list(digest), list(license)) AS t FROM k)
+m AS (SELECT map(list(digest), list(license)) AS t, list(digest) AS ks FROM k)
 SELECT doc_id, text_digest, license,
-       coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(lines, lambda x: x IN (SELECT digest FROM k)), lambda x: m.t[x]))), ','), '') AS notices
+       coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(lines, lambda x: list_contains(m.ks, x)), lambda x: m.t[x]))), ','), '') AS notices
 FROM d LEFT JOIN k ON text_digest = digest, m
 """
 
