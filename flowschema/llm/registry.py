@@ -1,10 +1,11 @@
 """Queries of the training-data operators, and their DuckDB SQL where SQL can express them."""
 
-from . import exact_dedup, licenses, mixing, quality, sharding, simhash
+from . import exact_dedup, licenses, mixing, packing, quality, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op6_licenses": licenses.op6_licenses,
+    "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
