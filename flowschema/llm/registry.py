@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their DuckDB SQL where SQL can express them."""
 
-from . import exact_dedup, licenses, mixing, packing, quality, sharding, simhash
+from . import exact_dedup, licenses, mixing, packing, ppm, quality, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op7_mixing": mixing.op7_mixing,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_ppm": ppm.op9_ppm,
     "op10_quality": quality.op10_quality,
 }
 
