@@ -2,11 +2,12 @@
 
 Training. Texts are lower-cased (A-Z) and their words joined by single spaces, with an end symbol. Every symbol is
 counted with the ORDER bytes before it; counts are summed in each task, then by key in a shuffle that grows with the
-corpus. The contexts of the byte trie of orders 1 to ORDER are those that hold a share of at least 2**-SHARE_BITS of all
-training symbols, so there are at most 2**SHARE_BITS of an order: this bounds the model, not what is counted. The set is
-closed under prefixes and suffixes, so the trie is also an automaton: its state is the longest context that ends here.
+corpus. The byte trie keeps the most frequent contexts of orders 1 to ORDER: all those above a count that is chosen from
+a histogram of all context counts so that at most STATES remain. This bounds the size of the model, not what is counted.
+The set is closed under prefixes and suffixes, so the trie is also an automaton: its state is the longest
+context that ends here.
 
-Probabilities. A context with N symbols of d kinds gives a symbol n / (N + d) and escapes with d / (N + d) (method C) to
+Probabilities. A context with N symbols of d kinds gives a symbol (2n - 1) / 2N and escapes with d / 2N (method D) to
 the context without its first byte, where the symbols of the longer context are excluded; below the empty
 context all remaining bytes are alike. As the symbols of a context are among those of its suffix, all this is worked out once per
 (state, symbol), and a text is scored by walking the automaton: long texts are cut into segments that are
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, id_crc, materialize, pick, read
 
-ORDER = 5
-SHARE_BITS = 14
+ORDER = 6
+STATES = 1 << 17
 END = b"\n"
 _PAD = b"\0" * (ORDER - 1) + b" "
 _CHUNK = 4 << 20
@@ -135,7 +136,9 @@ class Trie:
             count = np.zeros((len(keys), a))
             mine = order == k
             np.add.at(count, (np.searchsorted(keys, context[mine]), self.code[symbol[mine]]), n[mine])
-            seen, total, kinds = count > 0, count.sum(1), (count > 0).sum(1)
+            seen = count > 0
+            count = np.where(seen, 2 * count - 1, 0)
+            total, kinds = count.sum(1), seen.sum(1)
             if k == 0:
                 left = max(256 - int(kinds[0]), 1)
                 lower = np.full((1, a), -np.log10(left))
@@ -203,14 +206,20 @@ class Trie:
 
 
 def train(docs: DataFrame) -> Trie:
-    """Count all texts of docs, choose the contexts, and build the automaton (bounded by 2**SHARE_BITS contexts an order)."""
+    """Count all texts of docs, choose the contexts, and build the automaton (STATES contexts at most)."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_grams, "gram long, n long")
     grams = materialize(counts.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
     orders = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit((1 << 8 * (k + 1)) - 1).alias("mask")) for k in range(ORDER + 1)))).alias("o")
     rows = grams.select("gram", "n", orders).select(F.col("o.k").alias("k"), F.expr("gram & o.mask").alias("key"), "n")
     contexts = rows.groupBy("k", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"))
-    kept = materialize(contexts.where((F.col("total") >= total / 2**SHARE_BITS) | (F.col("k") == 0)).select("k", "context"), "ppm-contexts")
+    contexts = materialize(contexts.withColumn("step", F.floor(F.log2("total") * 8).cast("int")), "ppm-contexts")
+    left, least = STATES - 1, 0
+    for row in contexts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 512 rows at most
+        left -= row["count"]
+        if left < 0:
+            least = row.step + 1
+            break
+    kept = contexts.where((F.col("step") >= least) | (F.col("k") == 0)).select("k", "context")
     seen = rows.withColumn("context", F.shiftright("key", 8)).join(F.broadcast(kept), ["k", "context"])
     seen = seen.groupBy("k", "context", F.expr("key & 255").alias("symbol")).agg(F.sum("n").alias("n")).toArrow()
     col = lambda c: seen.column(c).to_numpy()

@@ -1,10 +1,12 @@
 """Queries of the training-data operators, and their DuckDB SQL where SQL can express them."""
 
-from . import exact_dedup, licenses, mixing, packing, ppm, quality, sharding, simhash
+from . import cover_tree, exact_dedup, licenses, mixing, packing, ppm, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op6_licenses": licenses.op6_licenses,
+    "op2_cover_tree": cover_tree.op2_cover_tree,
+    "op3_urls": urls.op3_urls,
     "op4_packing": packing.op4_packing,
     "op5_simhash": simhash.op5_simhash,
     "op7_mixing": mixing.op7_mixing,
