@@ -13,6 +13,7 @@ labelled URLs nothing is blocked but by rules; repeated rows are judged alike; a
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ from .common import pick, read
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 TRAIN_ROWS = 20_000
+FOLDS = 5
 TREES, DEPTH, RATE, CUTS = 40, 3, 0.15, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -130,15 +132,20 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Boosted:
         return model
     y = np.array([float(r.label) for r in sample])
     model.prior = float(y.mean())
-    seen: dict[str, list[float]] = {}
-    for r in sample:
-        for s in suffixes(r.host):
-            entry = seen.setdefault(s, [0.0, 0.0])
-            entry[0] += r.label
-            entry[1] += 1
-    # A row's own label must not speak for it: statistics of the other rows while fitting.
-    x = np.array([features(r.url, r.host, r.path, {s: (seen[s][0] - r.label, seen[s][1] - 1) for s in suffixes(r.host)}, model.prior) for r in sample], dtype=float)
-    model.rates = {s: (a, b) for s, (a, b) in seen.items()}
+    # A row's own label must not speak for it: while fitting, statistics come from the other folds.
+    fold = [zlib.crc32((r.url or "").encode()) % FOLDS for r in sample]
+
+    def rates(rows: list) -> dict[str, tuple[float, float]]:
+        bad, seen = Counter(), Counter()
+        for r in rows:
+            for s in suffixes(r.host):
+                bad[s] += r.label
+                seen[s] += 1
+        return {s: (float(bad[s]), float(n)) for s, n in seen.items()}
+
+    others = [rates([r for r, g in zip(sample, fold) if g != f]) for f in range(FOLDS)]
+    x = np.array([features(r.url, r.host, r.path, others[f], model.prior) for r, f in zip(sample, fold)], dtype=float)
+    model.rates = rates(sample)
     return model.fit(x, y)
 
 
