@@ -43,9 +43,13 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     before = Window.partitionBy(F.lit(0)).orderBy(F.col("stop") / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("stop").over(before), F.lit(0.0))
     heavy = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    t = t.withColumn("level", left / heavy).withColumn("full", F.col("stop") <= F.col("level") * F.col("weight"))
-    t = t.withColumn("final", F.min(F.when(~F.col("full"), F.col("level"))).over(every))
-    return t.select("source", "source_size", F.when(F.col("full"), F.col("stop")).otherwise(F.col("final") * F.col("weight")).alias("target"))
+    line = Window.partitionBy(F.lit(0)).orderBy(F.col("stop") / F.col("weight"), F.col("source").isNull(), "source")
+    t = t.withColumn("level", left / heavy).withColumn("nth", F.row_number().over(line))
+    # All before the first source that the level doesn't fill are full; its level holds for it and all after it.
+    open_at = F.when(F.col("stop") > F.col("level") * F.col("weight"), F.struct("nth", "level"))
+    t = t.withColumn("first", F.min(open_at).over(every))
+    full = F.col("first").isNull() | (F.col("nth") < F.col("first.nth"))
+    return t.select("source", "source_size", F.when(full, F.col("stop")).otherwise(F.col("first.level") * F.col("weight")).alias("target"))
 
 
 def plan_mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -126,9 +130,11 @@ w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, so
 c AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(stop) OVER b, 0))
               / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
       FROM w WINDOW b AS (ORDER BY stop / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-f AS (SELECT *, stop <= level * weight AS is_full FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY stop / weight, source IS NULL, source) AS nth FROM c),
+f AS (SELECT *, min(CASE WHEN stop > level * weight THEN nth END) OVER () AS first_open FROM o),
 t AS (SELECT source, source_size,
-             CASE WHEN is_full THEN stop ELSE (min(CASE WHEN NOT is_full THEN level END) OVER ()) * weight END AS target FROM f),
+             CASE WHEN first_open IS NULL OR nth < first_open THEN stop
+                  ELSE (max(CASE WHEN nth = first_open THEN level END) OVER ()) * weight END AS target FROM f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT *, target - whole * source_size AS rest FROM p),
 j AS (SELECT d.*, r.source_size, r.target, r.whole, r.rest,
