@@ -43,6 +43,17 @@ def _element(c: ColumnSpec) -> S.DataType:
     return S.ArrayType(spark_type(c), False) if c.is_repeated else spark_type(c)
 
 
+def loose(kind: S.DataType) -> S.DataType:
+    """kind with nulls allowed inside: a cast can't promise that there are none."""
+    if isinstance(kind, S.ArrayType):
+        return S.ArrayType(loose(kind.elementType), True)
+    if isinstance(kind, S.MapType):
+        return S.MapType(loose(kind.keyType), loose(kind.valueType), True)
+    if isinstance(kind, S.StructType):
+        return S.StructType([S.StructField(f.name, loose(f.dataType), True) for f in kind.fields])
+    return kind
+
+
 def spark_field(c: ColumnSpec) -> S.StructField:
     return S.StructField(c.name, _element(c), c.is_optional, {METADATA: json.dumps(asdict(c), default=str)})
 

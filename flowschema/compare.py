@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bridge import _element, spark_type
+from .bridge import _element, loose
 from .model import INTEGERS, UNSIGNED, ColumnSpec, Label, TableSpec, Type
 
 
@@ -48,7 +48,6 @@ class Diff:
         return self.code in _SHAPE
 
 
-_SMALL = {Type.BOOLEAN}
 #: destination: sources that widen into it
 WIDENING = {
     Type.INT_8: {Type.BOOLEAN}, Type.INT_16: {Type.BOOLEAN, Type.INT_8, Type.UINT_8}, Type.INT_32: {Type.BOOLEAN, Type.INT_8, Type.INT_16, Type.UINT_8, Type.UINT_16, Type.DATE},
@@ -129,7 +128,7 @@ def diff_frame(spark: SparkSession, diffs: list[Diff]) -> DataFrame:
 
 
 def _cast(value: Column, dest: ColumnSpec, src: ColumnSpec | None, strict: bool) -> Column:
-    kind = _element(dest)
+    kind = loose(_element(dest))
     if src is not None and src.type is Type.DATE and dest.type in INTEGERS:
         return F.datediff(value, F.lit("1970-01-01").cast("date")).cast(kind)
     if src is not None and src.type is Type.DATETIME_64 and dest.type in INTEGERS:
@@ -151,5 +150,5 @@ def coerce(df: DataFrame, dest: TableSpec, src: TableSpec | None = None, strict:
         if c.name in df.columns:
             out.append(_cast(F.col(f"`{c.name}`"), c, known.get(c.name), strict).alias(c.name))
         else:
-            out.append(F.lit(None).cast(spark_type(c) if not c.is_repeated else _element(c)).alias(c.name))
+            out.append(F.lit(None).cast(_element(c)).alias(c.name))
     return df.select(*out)
