@@ -13,8 +13,9 @@ context all remaining bytes are alike. As the symbols of a context are among tho
 (state, symbol), and a text is scored by walking the automaton: long texts are cut into segments that are
 walked side by side, each begun ORDER bytes early, which gives the same states as one walk.
 
-The word-unigram base comes from the same pass: each block of documents lists its words with postings (row, count), the words
-meet their corpus counts in a join by word, and return to their block. No vocabulary is broadcast or collected.
+The word-unigram base comes from the same pass: each block of documents lists its words once, by number, and each document the
+numbers of its words. The words are counted over all blocks in one shuffle, and the counts return to their block,
+where they meet its documents. No vocabulary is broadcast or collected.
 
 Defined cases: a null text counts as empty (the end token alone); a null identifier counts as the empty text in the
 split; repeated rows are scored and counted as often as they occur; without training rows every byte has
@@ -29,19 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, id_crc, materialize, pick, read
+from .common import LOWER, discard, id_crc, materialize, pick, read
 
-ORDER = 6
+ORDER = 5
 STATES = 1 << 17
 END = b"\n"
 _PAD = b"\0" * (ORDER - 1) + b" "
 _CHUNK = 4 << 20
-_BLOCK_BYTES = 16 << 20
+_BLOCK_BYTES = 32 << 20
 _BLOCK_ROWS = 60_000
 SEGMENT = 512
+_STATES_AT_ONCE = 8192
 
 
 def words_of(raw: bytes) -> list[bytes]:
@@ -133,30 +135,39 @@ class Trie:
             keys = contexts[k]
             rows = np.arange(base[k], base[k] + len(keys))
             suffix = state(k - 1, keys & np.uint64((1 << 8 * (k - 1)) - 1)) if k else np.zeros(1, np.int64)
-            count = np.zeros((len(keys), a))
-            mine = order == k
-            np.add.at(count, (np.searchsorted(keys, context[mine]), self.code[symbol[mine]]), n[mine])
-            seen = count > 0
-            count = np.where(seen, 2 * count - 1, 0)
-            total, kinds = count.sum(1), seen.sum(1)
-            if k == 0:
-                left = max(256 - int(kinds[0]), 1)
-                lower = np.full((1, a), -np.log10(left))
-            else:
-                at = suffix - base[k - 1]
-                up_count, up_seen = above["count"][at], above["seen"][at]
-                rest = above["total"][at] - (up_count * seen).sum(1)
-                kind = above["kinds"][at] - kinds
-                both = np.maximum(rest + kind, 1e-300)
-                escape = np.where(kind > 0, np.log10(np.maximum(kind, 1) / both), 0.0)
-                with np.errstate(divide="ignore"):
-                    lower = np.where(up_seen, np.log10(up_count) - np.log10(both)[:, None], escape[:, None] + above["lower"][at])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                here = np.log10(count) - np.log10(total + kinds)[:, None]
-                miss = np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0.0)
-            logp[rows] = np.where(seen, here, miss[:, None] + lower)
+            mine = np.nonzero(order == k)[0]
+            place = np.searchsorted(keys, context[mine])
+            by_place = np.argsort(place, kind="stable")
+            mine, place = mine[by_place], place[by_place]
+            count = np.zeros((len(keys), a), dtype=np.float32)
+            lower = np.zeros((len(keys), a), dtype=np.float32)
+            total, kinds = np.zeros(len(keys)), np.zeros(len(keys))
+            for i in range(0, len(keys), _STATES_AT_ONCE):
+                part = slice(i, min(i + _STATES_AT_ONCE, len(keys)))
+                one, two = np.searchsorted(place, [part.start, part.stop])
+                c = np.zeros((part.stop - part.start, a))
+                np.add.at(c, (place[one:two] - i, self.code[symbol[mine[one:two]]]), n[mine[one:two]])
+                seen = c > 0
+                c = np.where(seen, 2 * c - 1, 0)
+                t, d = c.sum(1), seen.sum(1)
+                if k == 0:
+                    low = np.full((1, a), -np.log10(max(256 - int(d[0]), 1)))
+                else:
+                    at = suffix[part] - base[k - 1]
+                    up = above["count"][at].astype(np.float64)
+                    rest = above["total"][at] - (up * seen).sum(1)
+                    kind = above["kinds"][at] - d
+                    both = np.maximum(rest + kind, 1e-300)
+                    escape = np.where(kind > 0, np.log10(np.maximum(kind, 1) / both), 0.0)
+                    with np.errstate(divide="ignore"):
+                        low = np.where(up > 0, np.log10(up) - np.log10(both)[:, None], escape[:, None] + above["lower"][at])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    here = np.log10(c) - np.log10(t + d)[:, None]
+                    miss = np.where(d > 0, np.log10(np.maximum(d, 1) / np.maximum(t + d, 1)), 0.0)
+                logp[rows[part]] = np.where(seen, here, miss[:, None] + low)
+                count[part], lower[part], total[part], kinds[part] = c, low, t, d
             step[rows] = step[suffix] if k else 0
-            above = {"count": count, "seen": seen, "total": total, "kinds": kinds, "lower": lower}
+            above = {"count": count, "total": total, "kinds": kinds, "lower": lower}
             # Contexts one longer are reached from their first k bytes.
             if k + 1 in contexts and len(contexts[k + 1]):
                 longer = contexts[k + 1]
@@ -227,72 +238,53 @@ def train(docs: DataFrame) -> Trie:
     keys = {j: np.unique(context[k == j]) for j in range(ORDER + 1)}
     keys[0] = np.zeros(1, dtype=np.uint64)
     keys = {j: x for j, x in keys.items() if len(x)}
+    discard(grams, contexts)
     return Trie(keys, k, context, col("symbol").astype(np.int64), col("n").astype(np.float64))
 
 
 def _scan(model):
-    """Documents to rows of two kinds: a scored document (word null), and a word of a block with its postings."""
+    """Documents to rows of two kinds: a scored document with the numbers of its words (word null), and a word of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = model.value
         ids: defaultdict[bytes, int] = defaultdict()
         ids.default_factory = ids.__len__
         held: list[tuple] = []
+        schema: pa.Schema | None = None
+
+        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            block = uuid.uuid4().hex
-            rows = len(held)
-            numbers = [np.array(x[2], dtype=np.int64) for x in held]
-            n_words = np.fromiter(map(len, numbers), dtype=np.int64, count=rows)
-            score = np.zeros(rows)
-            for i in range(0, rows, 8192):
-                score[i : i + 8192] = trie.score([x[3] for x in held[i : i + 8192]])
-            train_row = np.array([not x[1] for x in held], dtype=bool)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([block] * rows), "row": pa.array(np.arange(rows, dtype=np.int32)), "doc_id": pa.array([x[0] for x in held], id_type), "held_out": pa.array(~train_row),
-                    "n_words": pa.array(n_words), "score": pa.array(score), "word": pa.nulls(rows, pa.binary()), "n_train": pa.nulls(rows, pa.int64()), "postings": pa.nulls(rows, pa.binary()),
-                }
+            block, n = uuid.uuid4().int >> 65, len(held)
+            score = np.zeros(n)
+            for i in range(0, n, 8192):
+                score[i : i + 8192] = trie.score([x[4] for x in held[i : i + 8192]])
+            n_train = np.zeros(len(ids), dtype=np.int64)
+            for _, out, number, tf, _ in held:
+                if not out:
+                    n_train[number] += tf
+            yield rows(
+                n, block=pa.array([block] * n), doc_id=pa.array([x[0] for x in held], schema.field("doc_id").type), held_out=pa.array([x[1] for x in held]), n_words=pa.array([int(x[3].sum()) for x in held], pa.int64()),
+                score=pa.array(score), numbers=pa.array([x[2].tobytes() for x in held], pa.binary()), times=pa.array([x[3].tobytes() for x in held], pa.binary()),
             )
-            pairs = np.concatenate(numbers) << 20 | np.repeat(np.arange(rows), n_words)
-            pairs, tf = _counted(pairs)
-            word, row = pairs >> 20, pairs & ((1 << 20) - 1)
-            starts = np.searchsorted(word, np.arange(len(ids) + 1))
-            n_train = np.concatenate([[0], np.cumsum(np.where(train_row[row], tf, 0))])
-            n_train = n_train[starts[1:]] - n_train[starts[:-1]]
-            posting = np.column_stack([row, np.minimum(tf, 65535)]).astype("<u2")
-            over = np.nonzero(tf > 65535)[0]
-            blob = posting.tobytes()
             names = list(ids)
-            cut = (starts * 4).tolist()
             for i in range(0, len(names), 100_000):
-                j = min(i + 100_000, len(names))
-                blobs = [blob[x:y] for x, y in zip(cut[i:j], cut[i + 1 : j + 1])]
-                for o in over:  # counts beyond 16 bits go on in further postings of the same row
-                    if i <= word[o] < j:
-                        more, left = b"", int(tf[o]) - 65535
-                        while left > 0:
-                            more += np.array([row[o], min(left, 65535)], dtype="<u2").tobytes()
-                            left -= 65535
-                        blobs[int(word[o]) - i] += more
-                m = j - i
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "block": pa.array([block] * m), "row": pa.nulls(m, pa.int32()), "doc_id": pa.nulls(m, id_type), "held_out": pa.nulls(m, pa.bool_()),
-                        "n_words": pa.nulls(m, pa.int64()), "score": pa.nulls(m, pa.float64()), "word": pa.array(names[i:j], pa.binary()), "n_train": pa.array(n_train[i:j]), "postings": pa.array(blobs, pa.binary()),
-                    }
-                )
+                m = len(names[i : i + 100_000])
+                yield rows(m, block=pa.array([block] * m), word=pa.array(names[i : i + m], pa.binary()), number=pa.array(np.arange(i, i + m, dtype=np.int32)), n_train=pa.array(n_train[i : i + m]))
             held.clear()
             ids.clear()
 
         size = 0
         for b in batches:
-            id_type = b.schema.field("doc_id").type
+            schema = schema or pa.schema(
+                [("block", pa.int64()), ("doc_id", b.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("score", pa.float64()), ("numbers", pa.binary()), ("times", pa.binary()), ("word", pa.binary()), ("number", pa.int32()), ("n_train", pa.int64())]
+            )
             for i, t, h in zip(b.column("doc_id"), b.column("text"), b.column("held_out")):
                 found = words_of(_bytes(t))
-                line = b" ".join(found)
-                held.append((i.as_py(), h.as_py(), list(map(ids.__getitem__, found)), line))
-                size += len(line)
+                number, tf = np.unique(np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found)), return_counts=True)
+                held.append((i.as_py(), h.as_py(), number.astype("<i4"), tf.astype("<i4"), b" ".join(found)))
+                size += len(held[-1][4])
                 if size >= _BLOCK_BYTES or len(held) >= _BLOCK_ROWS:
                     yield from flush()
                     size = 0
@@ -302,34 +294,18 @@ def _scan(model):
     return run
 
 
-def _returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with corpus counts, sorted by block, to one row per document that has words: sums over its words."""
-    sums: dict[str, np.ndarray] = {}
-
-    def out(block: str) -> pa.RecordBatch:
-        s = sums.pop(block)
-        return pa.RecordBatch.from_pydict({"b": pa.array([block] * len(s)), "r": pa.array(np.arange(len(s), dtype=np.int32)), "log_sum": pa.array(s[:, 0].copy()), "known": pa.array(s[:, 1].astype(np.int64))})
-
-    for batch in batches:
-        block = batch.column("block").to_pylist()
-        cut = [i for i in range(len(block)) if i == 0 or block[i] != block[i - 1]] + [len(block)]
-        c = batch.column("c").to_numpy()
-        for i, j in zip(cut, cut[1:]):
-            for other in [x for x in sums if x != block[i]]:
-                yield out(other)
-            blobs = [x.as_buffer().to_pybytes() for x in batch.column("postings").slice(i, j - i)]
-            post = np.frombuffer(b"".join(blobs), dtype="<u2").reshape(-1, 2)
-            many = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
-            count = np.repeat(c[i:j], many)
-            row, tf = post[:, 0].astype(np.int64), post[:, 1]
-            s = sums.setdefault(block[i], np.zeros((1, 2)))
-            top = int(row.max()) + 1 if len(row) else 0
-            if top > len(s):
-                s = sums[block[i]] = np.concatenate([s, np.zeros((top - len(s), 2))])
-            s[:, 0] += np.bincount(row, weights=tf * np.log10(count + 1.0), minlength=len(s))
-            s[:, 1] += np.bincount(row, weights=tf * (count > 0), minlength=len(s))
-    for x in list(sums):
-        yield out(x)
+def _returned(texts: pa.Table, counts: pa.Table) -> pa.Table:
+    """The documents of a block, and the corpus counts of its words, to sums over the words of each document."""
+    number, c = counts.column("number").to_numpy(), counts.column("c").to_numpy()
+    by_number = np.zeros(int(number.max()) + 1 if len(number) else 0)
+    by_number[number] = c
+    log, known = np.log10(by_number + 1.0), by_number > 0
+    sums, hits = [], []
+    for words, times in zip(texts.column("numbers"), texts.column("times")):
+        w, tf = np.frombuffer(words.as_buffer(), "<i4"), np.frombuffer(times.as_buffer(), "<i4")
+        sums.append(float((log[w] * tf).sum()))
+        hits.append(int((known[w] * tf).sum()))
+    return texts.select(["doc_id", "held_out", "n_words", "score"]).append_column("log_sum", pa.array(sums, pa.float64())).append_column("known", pa.array(hits, pa.int64()))
 
 
 def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -338,24 +314,21 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     model = spark.sparkContext.broadcast(train(docs.where(~F.col("held_out"))))
-    schema = f"block string, row int, doc_id {kind}, held_out boolean, n_words long, score double, word binary, n_train long, postings binary"
+    schema = f"block long, doc_id {kind}, held_out boolean, n_words long, score double, numbers binary, times binary, word binary, number int, n_train long"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "held_out")
     scanned = materialize(rows.mapInArrow(_scan(model), schema), "ppm-scan")
-    words = scanned.where("word is not null")
-    texts = scanned.where("word is null")
-    counts = words.groupBy(F.col("word").alias("w")).agg(F.sum("n_train").alias("c"))
-    n_words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    texts = scanned.where("word IS NULL").select("block", "doc_id", "held_out", "n_words", "score", "numbers", "times")
+    # A word has one row in a block, so even the most frequent word is one narrow row per block of 32 MB of text.
+    same = Window.partitionBy("word")
+    words = scanned.where("word IS NOT NULL").select("block", "number", "n_train", F.sum("n_train").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
+    words = materialize(words, "ppm-words")
+    n_words, kinds = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
     ends = texts.where(~F.col("held_out")).count()
     n, v = n_words + ends, kinds + (ends > 0)
-    met = words.select("block", "word", "postings").join(counts, F.col("word") == F.col("w")).select("block", "postings", "c")
-    sums = met.repartition("block").sortWithinPartitions("block").mapInArrow(_returned, "b string, r int, log_sum double, known long")
-    joined = texts.join(sums, (F.col("block") == F.col("b")) & (F.col("row") == F.col("r")), "left")
+    summed = texts.groupBy("block").cogroup(words.select("block", "number", "c").groupBy("block")).applyInArrow(_returned, f"doc_id {kind}, held_out boolean, n_words long, score double, log_sum double, known long")
     tokens = F.col("n_words") + 1
-    end = float(np.log10(ends + 1.0))
-    base = F.coalesce("log_sum", F.lit(0.0)) + F.lit(end) - tokens * F.lit(float(np.log10(n + v + 1.0)))
-    return joined.select(
-        "doc_id", "held_out", tokens.cast("long").alias("n_tokens"), (F.coalesce("known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score"
-    )
+    base = F.col("log_sum") + F.lit(float(np.log10(ends + 1.0))) - tokens * F.lit(float(np.log10(n + v + 1.0)))
+    return summed.select("doc_id", "held_out", tokens.cast("long").alias("n_tokens"), (F.col("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op9_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
