@@ -77,21 +77,33 @@ def _single(i: int) -> dict:
 def dual(a: dict, x: np.ndarray, b: dict, y: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i of x, j of y) with cosine >= the threshold, each once (both orders if the trees are the same)."""
     reach = np.sqrt(2.0 - 2.0 * cosine) + SLACK
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
     stack = [(a, b)]
+
+    def below(p: dict, q: dict, i: np.ndarray, j: np.ndarray) -> None:
+        """Push the pairs of children i, j (at least one of them covers more than its centre) that the bound doesn't prune."""
+        for s in range(0, len(i), _ROWS):
+            rows = i[s : s + _ROWS]
+            far = _distance(x[p["c"][rows]], y[q["c"][j]])
+            m, n = np.nonzero(far <= p["r"][rows, None] + q["r"][None, j] + reach)
+            stack.extend((p["k"].get(u) or _single(p["c"][u]), q["k"].get(v) or _single(q["c"][v])) for u, v in zip(rows[m].tolist(), j[n].tolist()))
+
     while stack:
         p, q = stack.pop()
-        lone_p, lone_q = p["r"] == 0, q["r"] == 0
-        for s in range(0, len(p["c"]), _ROWS):
-            rows = slice(s, s + _ROWS)
-            dot = x[p["c"][rows]] @ y[q["c"]].T
-            both = np.outer(lone_p[rows], lone_q)
-            i, j = np.nonzero(both & (dot >= cosine))
-            if len(i):
-                yield p["c"][i + s], q["c"][j]
-            if not both.all():
-                bound = p["r"][rows, None] + q["r"][None, :] + reach
-                i, j = np.nonzero(~both & (np.sqrt(np.maximum(2.0 - 2.0 * dot, 0.0)) <= bound))
-                stack.extend((p["k"].get(m + s) or _single(p["c"][m + s]), q["k"].get(n) or _single(q["c"][n])) for m, n in zip(i.tolist(), j.tolist()))
+        lone_p, lone_q = np.nonzero(p["r"] == 0)[0], np.nonzero(q["r"] == 0)[0]
+        wide_p, wide_q = np.nonzero(p["r"])[0], np.nonzero(q["r"])[0]
+        cp, cq = p["c"][lone_p], q["c"][lone_q]
+        # Single points against single points: single precision finds candidates, double precision decides.
+        for s in range(0, len(cp) if len(cq) else 0, _ROWS):
+            i, j = np.nonzero(x32[cp[s : s + _ROWS]] @ y32[cq].T >= cosine - 1e-5)
+            i, j = cp[i + s], cq[j]
+            sure = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
+            if sure.any():
+                yield i[sure], j[sure]
+        if len(wide_p):
+            below(p, q, wide_p, np.arange(len(q["c"])))
+        if len(wide_q) and len(lone_p):
+            below(p, q, lone_p, wide_q)
 
 
 def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
