@@ -36,11 +36,12 @@ from pyspark.sql import functions as F
 from .common import LOWER, discard, id_crc, materialize, pick, read
 
 ORDER = 5
-STATES = 1 << 17
+STATES = 1 << 16
 END = b"\n"
 _PAD = b"\0" * (ORDER - 1) + b" "
-_CHUNK = 4 << 20
-_BLOCK_BYTES = 32 << 20
+_CHUNK = 2 << 20
+_SCORED_BYTES = 2 << 20
+_BLOCK_BYTES = 12 << 20
 _BLOCK_ROWS = 60_000
 SEGMENT = 512
 _STATES_AT_ONCE = 8192
@@ -106,7 +107,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(line) + ORDER + 1
             if size >= _CHUNK:
                 count()
-            if distinct > 4_000_000:
+            if distinct > 1_500_000:
                 yield out()
                 distinct = 0
     if held:
@@ -258,8 +259,14 @@ def _scan(model):
         def flush() -> Iterator[pa.RecordBatch]:
             block, n = uuid.uuid4().int >> 65, len(held)
             score = np.zeros(n)
-            for i in range(0, n, 8192):
-                score[i : i + 8192] = trie.score([x[4] for x in held[i : i + 8192]])
+            i = 0
+            while i < n:  # a few MB at a time: the walk needs some 20 bytes for each byte of text
+                j, size = i, 0
+                while j < n and size < _SCORED_BYTES:
+                    size += len(held[j][4])
+                    j += 1
+                score[i:j] = trie.score([x[4] for x in held[i:j]])
+                i = j
             n_train = np.zeros(len(ids), dtype=np.int64)
             for _, out, number, tf, _ in held:
                 if not out:
@@ -318,7 +325,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "held_out")
     scanned = materialize(rows.mapInArrow(_scan(model), schema), "ppm-scan")
     texts = scanned.where("word IS NULL").select("block", "doc_id", "held_out", "n_words", "score", "numbers", "times")
-    # A word has one row in a block, so even the most frequent word is one narrow row per block of 32 MB of text.
+    # A word has one row in a block, so even the most frequent word is one narrow row per block of 12 MB of text.
     same = Window.partitionBy("word")
     words = scanned.where("word IS NOT NULL").select("block", "number", "n_train", F.sum("n_train").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
     words = materialize(words, "ppm-words")
