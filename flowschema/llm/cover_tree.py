@@ -34,6 +34,8 @@ CELL = 4096
 PIVOTS = 1024
 SLACK = 1e-6  # added to every bound: pruning must not depend on rounding
 _ROWS = 512
+#: Radius of a cell's first net. Wider nodes than about twice the threshold's reach are rarely pruned against each other.
+TOP = 0.5
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -128,7 +130,7 @@ def _grown(table: pa.Table) -> pa.Table:
     """One cell to its cover tree."""
     table = table.combine_chunks()
     raw = np.array(table.column("vec").to_pylist(), dtype=np.float64)
-    tree = build(_unit(raw))
+    tree = build(_unit(raw), radius=TOP)
     blob = pickle.dumps((table.column("cid").to_numpy(), table.column("w").to_numpy(), raw, tree))
     far = max(x for x in table.column("far").to_pylist())
     return pa.table({"p": table.column("p").slice(0, 1), "sub": table.column("sub").slice(0, 1), "far": pa.array([far]), "tree": pa.array([blob], pa.binary())})
