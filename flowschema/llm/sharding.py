@@ -45,10 +45,10 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buck
     starts = counts.select("__bucket", start.alias("__start"))
     record = F.struct("__key", *docs.columns)
     bucket = placed.repartition(buckets, "__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list(record)).alias("__rows"))
-    # One bucket after another in each task, so that the stream of random numbers meets them in one order.
-    bucket = bucket.join(starts, "__bucket").sortWithinPartitions("__bucket")
-    bucket = bucket.select("__start", F.shuffle("__rows", seed).alias("__rows"))
-    out = bucket.select("__start", F.posexplode("__rows").alias("__pos", "__row"))
+    # The random numbers depend on the partition and on the order in it: both are fixed by the number of the bucket,
+    # as the shuffle comes before anything that might move the buckets again.
+    bucket = bucket.sortWithinPartitions("__bucket").select("__bucket", F.shuffle("__rows", seed).alias("__rows"))
+    out = bucket.join(starts, "__bucket").select("__start", F.posexplode("__rows").alias("__pos", "__row"))
     place = F.col("__start") + F.col("__pos")
     q, r = divmod(rows, shards)
     long_part = r * (q + 1)

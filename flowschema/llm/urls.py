@@ -121,7 +121,10 @@ class Boosted:
         return np.where(x[:, f] <= cut, self._run(low, x), self._run(high, x))
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.bias + sum(self._run(t, x) for t in self.trees)))) if len(x) else np.zeros(0)
+        score = np.full(len(x), self.bias)
+        for t in self.trees:
+            score += self._run(t, x)
+        return 1 / (1 + np.exp(-score))
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Boosted:
