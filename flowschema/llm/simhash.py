@@ -224,7 +224,7 @@ def keep_originals(docs: DataFrame, words: int = COPY_WORDS, least: float = COPY
     """docs with its own columns, one row of each group of near copies (the smallest doc_id, a null last).
 
     Near copies agree in shingles of words with similarity of at least least. Candidates are pairs within radius 3 under any
-    of prints fingerprints (90 of 100 pairs at 0.8 and nearly all from 0.85 on, by measurement); each candidate link is verified."""
+    of prints fingerprints, so a pair can be missed (README has a measurement); each candidate link is verified by its sketches."""
     names = docs.columns
     docs = carry(docs, "__uid")
     marks = sketches(pick(docs, "doc_id", "text"), words, prints)
