@@ -1,21 +1,20 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
 Training. Texts are lower-cased (A-Z) and their words joined by single spaces, with an end symbol. Every symbol is
-counted with the ORDER bytes before it; counts are summed in each task, then by key in a shuffle that grows with the
-corpus. The byte trie keeps the most frequent contexts of orders 1 to ORDER: all those above a count that is chosen from
-a histogram of all context counts so that at most STATES remain. This bounds the size of the model, not what is counted.
-The set is closed under prefixes and suffixes, so the trie is also an automaton: its state is the longest
-context that ends here.
+counted with the ORDER bytes before it, and all counted contexts of orders 0 to ORDER make the model: none is dropped.
 
 Probabilities. A context with N symbols of d kinds gives a symbol (2n - 1) / 2N and escapes with d / 2N (method D) to
 the context without its first byte, where the symbols of the longer context are excluded; below the empty
-context all remaining bytes are alike. As the symbols of a context are among those of its suffix, all this is worked out once per
-(state, symbol), and a text is scored by walking the automaton: long texts are cut into segments that are
-walked side by side, each begun ORDER bytes early, which gives the same states as one walk.
+context all remaining bytes are alike. So the probability of a symbol depends only on it and the ORDER bytes before it
+(its gram), and on the counts of contexts that end in the same bytes.
 
-The word-unigram base comes from the same pass: each block of documents lists its words once, by number, and each document the
-numbers of its words. The words are counted over all blocks in one shuffle, and the counts return to their block,
-where they meet its documents. No vocabulary is broadcast or collected.
+The work. Each block of documents lists its distinct grams once, sorted and packed by the last _KNOWN + 1 bytes of their contexts.
+One shuffle brings together, from all blocks, the grams of a bucket, whose longer contexts are all there; the contexts of up to
+_KNOWN bytes are summed in one table, which the alphabet bounds, and broadcast. The probabilities return to their
+blocks, where they meet the documents.
+
+The word-unigram base takes the same way: each block lists its words once, by number; they are counted over all blocks in
+one shuffle, and the counts return to their block. Neither the vocabulary nor the longer contexts are broadcast or collected.
 
 Defined cases: a null text counts as empty (the end token alone); a null identifier counts as the empty text in the
 split; repeated rows are scored and counted as often as they occur; without training rows every byte has
@@ -33,14 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, id_crc, materialize, pick, read
+from .common import LOWER, discard, empty_like, id_crc, materialize, pick, read, scratch_dir
 
-ORDER = 5
-STATES = 1 << 16
+ORDER = 6
 END = b"\n"
 _PAD = b"\0" * (ORDER - 1) + b" "
 _CHUNK = 2 << 20
-_SCORED_BYTES = 2 << 20
+_KNOWN = 2
 _BLOCK_BYTES = 12 << 20
 _BLOCK_ROWS = 60_000
 SEGMENT = 512
@@ -218,101 +216,197 @@ class Trie:
 
 
 def train(docs: DataFrame) -> Trie:
-    """Count all texts of docs, choose the contexts, and build the automaton (STATES contexts at most)."""
+    """The whole model of a corpus that is small enough for the driver, as an automaton."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_grams, "gram long, n long")
-    grams = materialize(counts.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    orders = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit((1 << 8 * (k + 1)) - 1).alias("mask")) for k in range(ORDER + 1)))).alias("o")
-    rows = grams.select("gram", "n", orders).select(F.col("o.k").alias("k"), F.expr("gram & o.mask").alias("key"), "n")
-    contexts = rows.groupBy("k", F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("total"))
-    contexts = materialize(contexts.withColumn("step", F.floor(F.log2("total") * 8).cast("int")), "ppm-contexts")
-    left, least = STATES - 1, 0
-    for row in contexts.groupBy("step").count().orderBy(F.desc("step")).collect():  # 512 rows at most
-        left -= row["count"]
-        if left < 0:
-            least = row.step + 1
-            break
-    kept = contexts.where((F.col("step") >= least) | (F.col("k") == 0)).select("k", "context")
-    seen = rows.withColumn("context", F.shiftright("key", 8)).join(F.broadcast(kept), ["k", "context"])
-    seen = seen.groupBy("k", "context", F.expr("key & 255").alias("symbol")).agg(F.sum("n").alias("n")).toArrow()
-    col = lambda c: seen.column(c).to_numpy()
-    k, context = col("k"), col("context").astype(np.uint64)
-    keys = {j: np.unique(context[k == j]) for j in range(ORDER + 1)}
-    keys[0] = np.zeros(1, dtype=np.uint64)
-    keys = {j: x for j, x in keys.items() if len(x)}
-    discard(grams, contexts)
-    return Trie(keys, k, context, col("symbol").astype(np.int64), col("n").astype(np.float64))
-
-
-def _scan(model):
-    """Documents to rows of two kinds: a scored document with the numbers of its words (word null), and a word of a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = model.value
-        ids: defaultdict[bytes, int] = defaultdict()
-        ids.default_factory = ids.__len__
-        held: list[tuple] = []
-        schema: pa.Schema | None = None
-
-        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            block, n = uuid.uuid4().int >> 65, len(held)
-            score = np.zeros(n)
-            i = 0
-            while i < n:  # a few MB at a time: the walk needs some 20 bytes for each byte of text
-                j, size = i, 0
-                while j < n and size < _SCORED_BYTES:
-                    size += len(held[j][4])
-                    j += 1
-                score[i:j] = trie.score([x[4] for x in held[i:j]])
-                i = j
-            n_train = np.zeros(len(ids), dtype=np.int64)
-            for _, out, number, tf, _ in held:
-                if not out:
-                    n_train[number] += tf
-            yield rows(
-                n, block=pa.array([block] * n), doc_id=pa.array([x[0] for x in held], schema.field("doc_id").type), held_out=pa.array([x[1] for x in held]), n_words=pa.array([int(x[3].sum()) for x in held], pa.int64()),
-                score=pa.array(score), numbers=pa.array([x[2].tobytes() for x in held], pa.binary()), times=pa.array([x[3].tobytes() for x in held], pa.binary()),
-            )
-            names = list(ids)
-            for i in range(0, len(names), 100_000):
-                m = len(names[i : i + 100_000])
-                yield rows(m, block=pa.array([block] * m), word=pa.array(names[i : i + m], pa.binary()), number=pa.array(np.arange(i, i + m, dtype=np.int32)), n_train=pa.array(n_train[i : i + m]))
-            held.clear()
-            ids.clear()
+    grams = counts.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    gram, n = grams.column("gram").to_numpy().astype(np.uint64), grams.column("n").to_numpy()
+    order, keys, total = [], [], []
+    for k in range(ORDER + 1):
+        key, t = _counted(gram & _mask(k + 1), n)
+        order.append(np.full(len(key), k))
+        keys.append(key)
+        total.append(t)
+    contexts = {k: x for k, x in enumerate(np.unique(x >> np.uint64(8)) for x in keys) if len(x)} or {0: np.zeros(1, dtype=np.uint64)}
+    key = np.concatenate(keys)
+    return Trie(contexts, np.concatenate(order), key >> np.uint64(8), (key & np.uint64(255)).astype(np.int64), np.concatenate(total).astype(np.float64))
+
+
+def _mask(size: int) -> np.uint64:
+    return np.uint64((1 << 8 * size) - 1)
+
+
+def _placed(grams: np.ndarray) -> np.ndarray:
+    """Grams with their bucket, which only the last _KNOWN + 1 bytes of the context decide, in the free byte above."""
+    last = (grams >> np.uint64(8)) & _mask(_KNOWN + 1)
+    return grams | ((last * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)) << np.uint64(56)
+
+
+def _packed(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """Sorted grams of one bucket and their counts, byte plane by byte plane, compressed."""
+    planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T.tobytes() + times.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(keys).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], decompressed_size=n * (ORDER + 5), codec="zstd", asbytes=True), np.uint8).reshape(-1, n)
+    keys, times = np.zeros((n, 8), np.uint8), np.ascontiguousarray(planes[ORDER + 1 :].T)
+    keys[:, : ORDER + 1] = planes[: ORDER + 1].T
+    return keys.view("<u8").ravel(), times.view("<i4").ravel()
+
+
+class Level:
+    """The (context, symbol) pairs of one order, sorted: counts n, and of their context 2N (total) and d (kinds).
+
+    low: probability of the symbol below the context, whose own symbols are excluded."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, below: Level | None):
+        self.keys, self.n = keys, n
+        context = keys >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))[: len(keys)]
+        times = np.diff(np.append(first, len(keys)))
+        each = lambda x: np.repeat(np.add.reduceat(x, first), times) if len(x) else x
+        self.total, self.kinds = each(2.0 * n), each((n > 0).astype(np.float64))
+        if below is None:
+            self.low = 1 / np.maximum(256 - self.kinds, 1)
+            return
+        at = np.searchsorted(below.keys, keys & below.mask)
+        up = below.n[at]
+        rest = np.maximum(below.total[at] - each(np.where(n > 0, 2.0 * up, 0.0)), 1)
+        kinds = below.kinds[at] - self.kinds
+        self.low = np.where(up > 0, (2 * up - 1) / rest, np.where(kinds > 0, kinds / rest, 1.0) * below.low[at])
+
+    def logp(self) -> np.ndarray:
+        total = np.maximum(self.total, 1)
+        return np.log10(np.where(self.n > 0, (2 * self.n - 1) / total, np.where(self.kinds > 0, self.kinds / total, 1.0) * self.low))
+
+
+def _levels(keys: np.ndarray, n: np.ndarray, order: int, below: Level | None) -> Level:
+    """The level of order, from the sorted distinct pairs of that order and the level below the least one."""
+    least = 0 if below is None else _KNOWN + 1
+    pairs = {order: (keys, n)}
+    for k in range(order - 1, least - 1, -1):
+        pairs[k] = _counted(pairs[k + 1][0] & _mask(k + 1), pairs[k + 1][1])
+    for k in range(least, order + 1):
+        below = Level(*pairs[k], below)
+        below.mask = _mask(k + 1)
+    return below
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to rows of four kinds: a document (line), a word of a block, a packed bucket of its grams, and a pair of order _KNOWN (number)."""
+    ids: defaultdict[bytes, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    held: list[tuple] = []
+    schema: pa.Schema | None = None
+
+    def rows(kind: str, n: int, **columns: pa.Array) -> pa.RecordBatch:
+        columns["kind"] = pa.array([kind] * n, pa.string())
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        block, n = uuid.uuid4().int >> 65, len(held)
+        for i in range(0, n, 4096):
+            part = held[i : i + 4096]
+            yield rows("text", len(part), block=pa.array([block] * len(part)), doc_id=pa.array([x[0] for x in part], schema.field("doc_id").type), held_out=pa.array([x[1] for x in part]), seq=pa.array(range(i, i + len(part)), pa.int32()), line=pa.array([x[2] for x in part], pa.binary()))
+        n_train = np.zeros(len(ids), dtype=np.int64)
+        for _, out, _, number in held:
+            if not out:
+                np.add.at(n_train, number, 1)
+        names = list(ids)
+        for i in range(0, len(names), 100_000):
+            m = len(names[i : i + 100_000])
+            yield rows("word", m, block=pa.array([block] * m), word=pa.array(names[i : i + m], pa.binary()), number=pa.array(np.arange(i, i + m, dtype=np.int32)), n_train=pa.array(n_train[i : i + m]))
+        parts = []
+        for out in (False, True):
+            for lines in _chunks([x[2] for x in held if x[1] == out]):
+                k, times = _counted(gram_keys(b"".join(_PAD + x + END for x in lines)))
+                parts.append((_placed(k), times * (not out)))
+        keys, times = _counted(np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts]))
+        pair, of_pair = _counted(keys & _mask(_KNOWN + 1), times)
+        for i in range(0, len(pair), 100_000):
+            m = len(pair[i : i + 100_000])
+            yield rows("pair", m, block=pa.array([block] * m), number=pa.array(pair[i : i + m].astype(np.int32)), n_train=pa.array(of_pair[i : i + m]))
+        cut = np.searchsorted(keys, np.arange(256, dtype=np.uint64) << np.uint64(56)).tolist() + [len(keys)]
+        some = [b for b in range(256) if cut[b] < cut[b + 1]]
+        yield rows(
+            "gram", len(some), block=pa.array([block] * len(some)), bucket=pa.array(some, pa.int32()),
+            grams=pa.array([_packed(keys[cut[b] : cut[b + 1]], times[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
+        )
+        held.clear()
+        ids.clear()
 
-        size = 0
-        for b in batches:
-            schema = schema or pa.schema(
-                [("block", pa.int64()), ("doc_id", b.schema.field("doc_id").type), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("score", pa.float64()), ("numbers", pa.binary()), ("times", pa.binary()), ("word", pa.binary()), ("number", pa.int32()), ("n_train", pa.int64())]
-            )
-            for i, t, h in zip(b.column("doc_id"), b.column("text"), b.column("held_out")):
-                found = words_of(_bytes(t))
-                number, tf = np.unique(np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found)), return_counts=True)
-                held.append((i.as_py(), h.as_py(), number.astype("<i4"), tf.astype("<i4"), b" ".join(found)))
-                size += len(held[-1][4])
-                if size >= _BLOCK_BYTES or len(held) >= _BLOCK_ROWS:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
+    size = 0
+    for b in batches:
+        schema = schema or pa.schema(
+            [("block", pa.int64()), ("doc_id", b.schema.field("doc_id").type), ("held_out", pa.bool_()), ("seq", pa.int32()), ("line", pa.binary()), ("word", pa.binary()), ("number", pa.int32()), ("n_train", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("kind", pa.string())]
+        )
+        for i, t, h in zip(b.column("doc_id"), b.column("text"), b.column("held_out")):
+            found = words_of(_bytes(t))
+            number = np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found))
+            held.append((i.as_py(), h.as_py(), b" ".join(found), number))
+            size += len(held[-1][2])
+            if size >= _BLOCK_BYTES or len(held) >= _BLOCK_ROWS:
+                yield from flush()
+                size = 0
+    if held:
+        yield from flush()
+
+
+def _chunks(lines: list[bytes]) -> Iterator[list[bytes]]:
+    i = 0
+    while i < len(lines):
+        j, size = i, 0
+        while j < len(lines) and size < _CHUNK:
+            size += len(lines[j]) + ORDER + 1
+            j += 1
+        yield lines[i:j]
+        i = j
+
+
+def _bucket_logp(known):
+    """The packed grams that all blocks have in a bucket to their log10 probabilities, in the same order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, times = zip(*(_unpacked(x.as_buffer().to_pybytes()) for x in table.column("grams")))
+        grams, n = _counted(np.concatenate(keys), np.concatenate(times).astype(np.int64))
+        logp = _levels(grams, n, ORDER, known.value).logp().astype("<f4")
+        return table.select(["block", "bucket"]).append_column("logp", pa.array([logp[np.searchsorted(grams, k)].tobytes() for k in keys], pa.binary()))
 
     return run
 
 
-def _returned(texts: pa.Table, counts: pa.Table) -> pa.Table:
-    """The documents of a block, and the corpus counts of its words, to sums over the words of each document."""
-    number, c = counts.column("number").to_numpy(), counts.column("c").to_numpy()
+def _returned(texts: pa.Table, values: pa.Table) -> pa.Table:
+    """The documents of a block, the corpus counts of its words and the probabilities of its grams to sums for each document."""
+    texts = texts.sort_by("seq")
+    lines = [x.as_buffer().to_pybytes() for x in texts.column("line")]
+    words = values.filter(values.column("number").is_valid())
+    number, c = words.column("number").to_numpy(), words.column("c").to_numpy()
     by_number = np.zeros(int(number.max()) + 1 if len(number) else 0)
     by_number[number] = c
     log, known = np.log10(by_number + 1.0), by_number > 0
-    sums, hits = [], []
-    for words, times in zip(texts.column("numbers"), texts.column("times")):
-        w, tf = np.frombuffer(words.as_buffer(), "<i4"), np.frombuffer(times.as_buffer(), "<i4")
-        sums.append(float((log[w] * tf).sum()))
-        hits.append(int((known[w] * tf).sum()))
-    return texts.select(["doc_id", "held_out", "n_words", "score"]).append_column("log_sum", pa.array(sums, pa.float64())).append_column("known", pa.array(hits, pa.int64()))
+    ids: defaultdict[bytes, int] = defaultdict()  # the same numbers as in the scan
+    ids.default_factory = ids.__len__
+    length, sums, hits = [], [], []
+    for line in lines:
+        found = line.split()
+        w = np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found))
+        length.append(len(found))
+        sums.append(float(log[w].sum()))
+        hits.append(int(known[w].sum()))
+    packed = values.filter(values.column("bucket").is_valid()).sort_by("bucket")
+    logp = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in packed.column("logp")])
+    parts = []
+    for some in _chunks(lines):
+        keys, at = np.unique(_placed(gram_keys(b"".join(_PAD + x + END for x in some))), return_inverse=True)
+        parts.append((keys, at.astype(np.int32), np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 1))
+    every = np.unique(np.concatenate([k for k, _, _ in parts]))
+    score = []
+    for keys, at, size in parts:
+        value = logp[np.searchsorted(every, keys)].astype(np.float64)
+        score.append(np.add.reduceat(value[at], np.cumsum(size) - size))
+    out = texts.select(["doc_id", "held_out"]).append_column("n_words", pa.array(length, pa.int64())).append_column("score", pa.array(np.concatenate(score)))
+    return out.append_column("log_sum", pa.array(sums, pa.float64())).append_column("known", pa.array(hits, pa.int64()))
 
 
 def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -320,19 +414,31 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     docs = pick(docs, "doc_id", "text").withColumn("held_out", F.pmod(id_crc(), F.lit(folds)) == fold)
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    model = spark.sparkContext.broadcast(train(docs.where(~F.col("held_out"))))
-    schema = f"block long, doc_id {kind}, held_out boolean, n_words long, score double, numbers binary, times binary, word binary, number int, n_train long"
+    schema = f"block long, doc_id {kind}, held_out boolean, seq int, line binary, word binary, number int, n_train long, bucket int, grams binary"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "held_out")
-    scanned = materialize(rows.mapInArrow(_scan(model), schema), "ppm-scan")
-    texts = scanned.where("word IS NULL").select("block", "doc_id", "held_out", "n_words", "score", "numbers", "times")
+    # One folder for each kind of rows, so that the grams can go before the rest.
+    path = f"{scratch_dir(spark)}/ppm-scan-{uuid.uuid4().hex}"
+    rows.mapInArrow(_scan, f"{schema}, kind string").write.partitionBy("kind").parquet(path)
+    there = {r.kind for r in spark.read.schema(f"{schema}, kind string").parquet(path).select("kind").distinct().collect()}
+    scanned = {k: spark.read.schema(schema).parquet(f"{path}/kind={k}") if k in there else empty_like(spark, schema) for k in ("text", "word", "pair", "gram")}
+    texts = scanned["text"].select("block", "doc_id", "held_out", "seq", "line")
+    # The contexts of up to _KNOWN bytes: 2 ** 24 pairs at most, whatever the input.
+    low = scanned["pair"].groupBy("number").agg(F.sum("n_train").alias("n")).toArrow()
+    order = np.argsort(low.column("number").to_numpy())
+    known = spark.sparkContext.broadcast(_levels(low.column("number").to_numpy()[order].astype(np.uint64), low.column("n").to_numpy()[order], _KNOWN, None))
+    packed = scanned["gram"].select("block", "bucket", "grams")
+    packed = materialize(packed.groupBy("bucket").applyInArrow(_bucket_logp(known), "block long, bucket int, logp binary"), "ppm-logp")
+    discard(scanned["gram"])
     # A word has one row in a block, so even the most frequent word is one narrow row per block of 12 MB of text.
     same = Window.partitionBy("word")
-    words = scanned.where("word IS NOT NULL").select("block", "number", "n_train", F.sum("n_train").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
+    words = scanned["word"].select("block", "number", "n_train", F.sum("n_train").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
     words = materialize(words, "ppm-words")
     n_words, kinds = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
     ends = texts.where(~F.col("held_out")).count()
     n, v = n_words + ends, kinds + (ends > 0)
-    summed = texts.groupBy("block").cogroup(words.select("block", "number", "c").groupBy("block")).applyInArrow(_returned, f"doc_id {kind}, held_out boolean, n_words long, score double, log_sum double, known long")
+    values = words.select("block", "number", "c", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("logp"))
+    values = values.union(packed.select("block", F.lit(None).cast("int"), F.lit(None).cast("long"), "bucket", "logp"))
+    summed = texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_returned, f"doc_id {kind}, held_out boolean, n_words long, score double, log_sum double, known long")
     tokens = F.col("n_words") + 1
     base = F.col("log_sum") + F.lit(float(np.log10(ends + 1.0))) - tokens * F.lit(float(np.log10(n + v + 1.0)))
     return summed.select("doc_id", "held_out", tokens.cast("long").alias("n_tokens"), (F.col("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

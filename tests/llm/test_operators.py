@@ -338,6 +338,18 @@ def test_automaton_scores_like_the_definition(spark):
     assert p.sum(1) == pytest.approx(np.ones(len(p)), abs=1e-4)
 
 
+def test_scores_use_all_contexts(spark, rng):
+    letters = np.frombuffer(b"abcdefghij ", dtype=np.uint8)
+    texts = [letters[rng.integers(11, size=2000)].tobytes().decode() for _ in range(70)]
+    texts += [texts[3][:900] + " " + texts[5][300:], "zebra!", "", None]
+    train = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    streams = [ppm._PAD + b" ".join(ppm.words_of(t.encode())) + ppm.END for t in train]
+    assert len({s[i - 5 : i] for s in streams for i in range(5, len(s))}) > 1 << 16
+    got = {r.doc_id: r.score for r in ppm.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)).collect()}
+    for i in (0, 1, 2, 3, 70, 71, 72, 73):
+        assert got[i] == pytest.approx(slow_ppm(train, texts[i] or ""), rel=1e-5)
+
+
 # 10 quality
 
 
