@@ -433,6 +433,7 @@ def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     same = Window.partitionBy("word")
     words = scanned["word"].select("block", "number", "n_train", F.sum("n_train").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
     words = materialize(words, "ppm-words")
+    discard(scanned["word"])
     n_words, kinds = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
     ends = texts.where(~F.col("held_out")).count()
     n, v = n_words + ends, kinds + (ends > 0)
