@@ -179,73 +179,94 @@ def near_groups(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> D
     return fps.join(nodes.join(least, F.col("root") == F.col("r")).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-COPY_WORDS, COPY_SIMILARITY, PRINTS, SKETCH = 5, 0.8, 5, 256
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+_SAMPLE, _FREQUENT = 20_000, 4
 
 
-def sketches(docs: DataFrame, words: int = COPY_WORDS, prints: int = PRINTS, sketch: int = SKETCH) -> DataFrame:
-    """uid, doc_id, fps and sketch of every row, as a written table.
+def shingle_set(text: pa.Scalar, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", words))
 
-    fps: fingerprints under different seeds of the set of words, which few edits change little. sketch: the smallest
-    distinct hashes of the word shingles (all of them, if a text has no more than sketch)."""
+
+def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes that are frequent in a sample, the rarest first. They only decide the order in which prefixes are taken, not the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = (np.arange(prints, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         for b in batches:
-            fps, low = [], []
-            for t in b.column("text"):
-                raw = t.as_buffer().to_pybytes() if t.is_valid else b""
-                base = np.array([xxhash.xxh64_intdigest(w, 7) for w in set(raw.translate(LOWER).split())], dtype=np.uint64)
-                for s in seeds:
-                    h = base * s
-                    h ^= h >> np.uint64(32)
-                    h *= np.uint64(0xD6E8FEB86659FD93)
-                    fps.append(signed(fingerprint(h ^ (h >> np.uint64(32)))))
-                low.append(np.unique(shingle_hashes(raw, words) >> np.uint64(32))[:sketch].astype("<u4").tobytes())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, prints, dtype=np.int32)), pa.array(fps, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), lists, pa.array(low, pa.binary())], names=["uid", "doc_id", "fps", "sketch"])
-
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(run, f"uid long, doc_id {kind}, fps array<long>, sketch binary"), "sketches")
+            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, words) for t in b.column("text"))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
 
+    part = docs.where(F.pmod("uid", F.lit(max(1, docs.count() // _SAMPLE))) == 0).select("text")
+    found = part.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= _FREQUENT).toArrow()
+    h, n = found.column("h").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
+    return h[np.lexsort((h, n))]
 
-def similarity(a: bytes, b: bytes, sketch: int = SKETCH) -> float:
-    """Jaccard similarity of two sketches: exact if neither text has more shingles than the sketch holds."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    union = np.union1d(x, y)
-    if len(x) >= sketch or len(y) >= sketch:
-        union = union[:sketch]
-    return float(np.isin(union, np.intersect1d(x, y, assume_unique=True)).mean())
 
+def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """uid, doc_id, digest of the set of shingles, its size n, and its prefix, as a written table.
 
-def keep_originals(docs: DataFrame, words: int = COPY_WORDS, least: float = COPY_SIMILARITY, prints: int = PRINTS) -> DataFrame:
+    Two sets of similarity least or more share a shingle of their first n - ceil(least * n) + 1 in one fixed order of all shingles:
+    those not known as frequent by hash, then the frequent ones."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.argsort(frequent.value)
+        known = frequent.value[rank]
+        for b in batches:
+            digest, size, prefix = [], [], []
+            for t in b.column("text"):
+                h = shingle_set(t, words)
+                digest.append(xxhash.xxh128_digest(h.astype("<u8").tobytes()))
+                size.append(len(h))
+                m = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                late = np.where(known[at] == h, rank[at] + 1, 0) if len(known) else np.zeros(len(h), np.int64)
+                prefix.append(h[np.lexsort((h, late))][:m].view(np.int64))
+            ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists], names=["uid", "doc_id", "digest", "n", "prefix"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return materialize(docs.mapInArrow(run, f"uid long, doc_id {kind}, digest binary, n int, prefix array<long>"), "prefixes")
+
+
+def keep_originals(docs: DataFrame, words: int = COPY_WORDS, least: float = COPY_SIMILARITY) -> DataFrame:
     """docs with its own columns, one row of each group of near copies (the smallest doc_id, a null last).
 
-    Near copies agree in shingles of words with similarity of at least least. Candidates are pairs within radius 3 under any
-    of prints fingerprints, so a pair can be missed (README has a measurement); each candidate link is verified by its sketches."""
+    Near copies agree in their sets of shingles of words with similarity of at least least. Candidates are all pairs that share
+    a shingle of their prefixes, so none is missed, and each is verified on its whole sets before it becomes a link."""
     names = docs.columns
     docs = carry(docs, "__uid")
-    marks = sketches(pick(docs, "doc_id", "text"), words, prints)
-    each = marks.select("uid", F.posexplode("fps").alias("tag", "fp"))
-    classes = materialize(each.groupBy("tag", "fp").agg(F.min("uid").alias("rep")), "fp-classes")
-    inside = each.join(classes, ["tag", "fp"]).where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
-    links = near_links(classes.select("tag", "fp"))
-    one = classes.select("tag", F.col("fp").alias("a"), F.col("rep").alias("ua"))
-    two = classes.select("tag", F.col("fp").alias("b"), F.col("rep").alias("ub"))
-    across = links.join(one, ["tag", "a"]).join(two, ["tag", "b"]).select(F.col("ua").alias("a"), F.col("ub").alias("b")).where("a <> b")
-    pairs = materialize(inside.union(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
-    # Identical sketches of one uid (repeated rows) count once.
-    sketch = marks.groupBy("uid").agg(F.min("sketch").alias("sketch"))
-    both = pairs.join(sketch.select(F.col("uid").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("uid").alias("b"), F.col("sketch").alias("sb")), "b")
+    texts = pick(docs, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", F.col("text").cast("string").alias("text"))
+    marks = prefixes(texts, words, least)
+    # Equal sets are one class; only its representative is compared.
+    classes = materialize(marks.groupBy("digest").agg(F.min(F.struct("uid", "n", "prefix")).alias("r")).select("digest", "r.*"), "set-classes")
+    inside = marks.select("uid", "digest").join(classes.select("digest", F.col("uid").alias("rep")), "digest").where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
+    each = classes.select("uid", "n", F.posexplode("prefix").alias("at", "h"))
+    one, two = (each.select("h", F.col("uid").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("at")).alias(f"r{x}")) for x in "ab")
+    # Sizes, and what is left of both sets from the shared shingle on, must allow the similarity.
+    fits = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-6) & (F.least("ra", "rb") >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6)
+    pairs = materialize(one.join(two, "h").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([shingle_set(t, words).astype("<u8").tobytes() for t in b.column("text")], pa.binary())], names=["uid", "shingles"])
+
+    # Repeated rows of one uid count once.
+    sets = texts.join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text")).mapInArrow(whole, "uid long, shingles binary")
+    sets = materialize(sets, "candidate-sets")
+    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similarity(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes()) >= least for x, y in zip(b.column("sa"), b.column("sb"))]
+            ok = []
+            for x, y in zip(b.column("sa"), b.column("sb")):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= least * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    roots = components(both.select("a", "b", "sa", "sb").mapInArrow(verified, "a long, b long"))
+    roots = components(inside.union(both.select("a", "b", "sa", "sb").mapInArrow(verified, "a long, b long")))
     member = marks.select("uid", "doc_id").distinct().join(roots, F.col("uid") == F.col("node"))
     first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("best"))
     gone = materialize(member.join(first, "root").where("uid <> best.uid").select(F.col("uid").alias("__gone")), "near-copies")

@@ -225,6 +225,29 @@ def test_near_copies_go_and_others_stay(spark, rng):
     assert want <= kept and len({k for k in kept if k is not None and k < 5000} - want) == 0 and None in kept
 
 
+def kept_by_brute_force(texts, least=0.8):
+    ws = [WORD.findall(t.lower()) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ws]
+    like = lambda x, y: len(x & y) >= least * len(x | y)
+    label = components_of(len(texts), [[j for j in range(len(texts)) if i != j and like(sets[i], sets[j])] for i in range(len(texts))])
+    return {i for i, l in enumerate(label) if i == l}
+
+
+def kept_of(spark, texts):
+    return {r.doc_id for r in simhash.keep_originals(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+
+
+def test_copies_with_added_passages_go(spark, rng):
+    texts = []
+    for size in (60, 150, 400):
+        for _ in range(15):
+            base = [f"w{i}" for i in rng.integers(3000, size=size)]
+            more = [f"v{i}" for i in rng.integers(3000, size=size * int(rng.integers(19, 30)) // 100)]
+            texts += [" ".join(base), " ".join(base + more)]
+    want = kept_by_brute_force(texts)
+    assert 45 < len(want) < 90 and kept_of(spark, texts) == want
+
+
 def test_components(spark, rng):
     pairs = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 180)] + [(7, 300), (400, 400)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
