@@ -248,6 +248,16 @@ def test_copies_with_added_passages_go(spark, rng):
     assert 45 < len(want) < 90 and kept_of(spark, texts) == want
 
 
+def test_copies_go_whatever_other_text_has_their_words(spark, rng):
+    texts = []
+    for _ in range(30):  # texts of the same words in another order, and copies of one of them
+        words = [f"w{i}" for i in rng.choice(3000, 80, replace=False)]
+        texts += [" ".join(rng.permutation(words)) for _ in range(4)]
+        texts += [texts[-1] + " again", texts[-1] + " once more"]
+    want = kept_by_brute_force(texts)
+    assert len(want) == 120 and kept_of(spark, texts) == want
+
+
 def test_components(spark, rng):
     pairs = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 180)] + [(7, 300), (400, 400)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
