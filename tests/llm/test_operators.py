@@ -258,6 +258,15 @@ def test_copies_go_whatever_other_text_has_their_words(spark, rng):
     assert len(want) == 120 and kept_of(spark, texts) == want
 
 
+def test_long_texts_are_compared_as_a_whole(spark, rng):
+    texts = []
+    for _ in range(25):  # similarities from 0.78 to 0.82
+        base = [f"w{i}" for i in rng.integers(30000, size=1500)]
+        texts += [" ".join(base), " ".join(base + [f"v{i}" for i in rng.integers(30000, size=int(1496 * (1 / rng.uniform(0.78, 0.82) - 1)))])]
+    want = kept_by_brute_force(texts)
+    assert 25 < len(want) < 50 and kept_of(spark, texts) == want
+
+
 def test_components(spark, rng):
     pairs = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 180)] + [(7, 300), (400, 400)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
