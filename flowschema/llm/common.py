@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import re
+import shutil
 import tempfile
+import threading
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,41 +21,94 @@ WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 #: A-Z to a-z on bytes, and nothing else.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_dir: dict[int, str] = {}
+_own_dirs: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_lock = threading.Lock()
+_writing: dict[int, list] = {}  # writers at work in a session, and what the setting was before the first of them
+_scopes = threading.local()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Only where none is set and the master is local, as in tests, it is a temporary folder of this process, which goes with it."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
-    key = id(spark.sparkContext)
-    if key not in _own_dir:
-        _own_dir[key] = "file://" + tempfile.mkdtemp(prefix="flowschema-")
-    return _own_dir[key]
+    if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {sc.master})")
+    with _lock:
+        if sc not in _own_dirs:
+            folder = tempfile.mkdtemp(prefix="flowschema-")
+            weakref.finalize(sc, shutil.rmtree, folder, ignore_errors=True)
+            _own_dirs[sc] = "file://" + folder
+        return _own_dirs[sc]
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While any table is written: shuffle files go as soon as their job has ended. Writers in other threads may overlap."""
+    with _lock:
+        state = _writing.setdefault(id(spark), [0, spark.conf.get(_CLEANUP, None)])
+        state[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.unset(_CLEANUP) if state[1] is None else spark.conf.set(_CLEANUP, state[1])
+                del _writing[id(spark)]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, known to the scopes that are open in this thread."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in getattr(_scopes, "open", ()):
+        scope.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    # Nothing reads this job's shuffle files once the table is written.
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    path = scratch_path(spark, name)
     try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        with _cleaning(spark):  # nothing reads this job's shuffle files once the table is written
+            df.write.options(**options).parquet(path)
+    except BaseException:
+        delete(spark, path)
+        raise
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote and nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(df.sparkSession, file.rpartition("/")[0])
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Everything that operators write to the shared folder inside the scope is deleted at its end, whatever happens.
+
+    Results are lazy, so write them inside the scope, under a path that is not scratch_path()'s."""
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    mine: list[str] = []
+    _scopes.open.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.open.remove(mine)
+        for path in mine:
+            delete(spark, path)
 
 
 def find(df: DataFrame, name: str) -> int | None:

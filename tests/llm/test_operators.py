@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, on tricky and on empty tables."""
 
 import collections
+import hashlib
 import re
 import zlib
 
@@ -33,32 +34,79 @@ def test_pick_and_carry(spark):
 # 8 exact dedup
 
 
+def squeezed(text):
+    return re.sub(r"[\x20\x09-\x0D]", "", text or "")
+
+
 def expect_dedup(docs):
+    """(doc_id, keep_id, group_size, kept) of every row: one row of each group is kept."""
     groups = collections.defaultdict(list)
     for d in docs:
-        groups[re.sub(r"[\x20\x09-\x0D]", "", d.text or "")].append(d)
-    out = {}
-    for text, members in groups.items():
-        keep = min(members, key=lambda d: (-len(d.text or ""), d.doc_id is None, d.doc_id or 0)).doc_id
-        for d in members:
-            out[(d.doc_id, d.text)] = (keep, len(members), d.doc_id == keep)
+        groups[squeezed(d.text)].append(d)
+    out = collections.Counter()
+    for members in groups.values():
+        members.sort(key=lambda d: (-len(d.text or ""), d.doc_id is None, d.doc_id or 0))
+        out.update((d.doc_id, members[0].doc_id, len(members), i == 0) for i, d in enumerate(members))
     return out
 
 
+def marks_of(df):
+    return collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect())
+
+
+REPEATS = [(7, "a b"), (7, "ab"), (8, "ab"), (9, "zz"), (9, "zz"), (9, "z z"), (None, "q"), (None, "q"), (3, "q"), (4, ""), (4, None), (5, " ")]
+
+
 @pytest.mark.parametrize("bits", [256, 4])
 def test_exact_dedup(tricky, bits):
-    want = expect_dedup(tricky.collect())
-    got = exact_dedup.exact_dedup(tricky, digest_bits=bits, filter_bits=1 << 16).collect()
-    assert len(got) == tricky.count()
-    by_id = collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got)
-    assert by_id == collections.Counter((d.doc_id, *want[(d.doc_id, d.text)]) for d in tricky.collect())
-
-
-def test_exact_dedup_keeps_columns(tricky):
-    kept = exact_dedup.keep_one(tricky)
-    assert kept.columns == tricky.columns
-    texts = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in kept.collect()]
-    assert len(texts) == len(set(texts)) == len({re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in tricky.collect()})
+    assert marks_of(exact_dedup.exact_dedup(tricky, digest_bits=bits, filter_most=1 << 16)) == expect_dedup(tricky.collect())
+
+
+@pytest.mark.parametrize("bits", [256, 4])
+def test_exact_dedup_of_repeated_identifiers(spark, bits):
+    docs = spark.createDataFrame(REPEATS, "doc_id int, text string")
+    want = expect_dedup(docs.collect())
+    for d in (docs, docs.repartition(5)):
+        got = exact_dedup.exact_dedup(d, digest_bits=bits)
+        assert marks_of(got) == want and got.where("kept").count() == 4
+        assert {(r.doc_id, r.text) for r in exact_dedup.keep_one(d).where("doc_id in (7, 9, 3)").collect()} == {(7, "a b"), (9, "z z"), (3, "q")}
+        assert exact_dedup.keep_one(d).count() == 4
+
+
+@pytest.mark.parametrize("bits", [256, 8])
+def test_index_takes_batches(spark, rng, bits):
+    """Batch after batch, over several compactions, the index says what one pass over everything says."""
+    texts = [" ".join(f"w{x}" for x in rng.integers(6, size=2)) for _ in range(140)]
+    rows = list(enumerate(texts))
+    index = exact_dedup.DigestIndex(digest_bits=bits, fanout=2)
+    for k in range(0, 140, 28):
+        batch = spark.createDataFrame(rows[k : k + 28], "doc_id int, text string")
+        known = {r.digest: r.group_size for r in index.add(batch).collect()}
+        if bits == 256:
+            so_far = collections.Counter(squeezed(t) for _, t in rows[: k + 28])
+            assert known == {hashlib.sha256(squeezed(t).encode()).hexdigest(): so_far[squeezed(t)] for _, t in rows[k : k + 28]}
+    assert [len(level) for level in index.levels] == [1, 0, 1]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    assert marks_of(index.marks()) == expect_dedup(docs.collect())
+
+
+def test_filters_hold_all_and_few_others(spark):
+    held = spark.range(0, 3000).select(F.xxhash64("id").alias("hash"))
+    bits = exact_dedup._bits(3000)
+    bitmaps = exact_dedup.bit_filter(held, bits)
+    assert exact_dedup.passing(held, bitmaps, bits).count() == 3000 and exact_dedup.passing(held, bitmaps, bits, negate=True).count() == 0
+    others = spark.range(5000, 8000).select(F.xxhash64("id").alias("hash"))
+    assert exact_dedup.passing(others, bitmaps, bits).count() < 300
+
+
+def test_exact_dedup_keeps_columns(tricky, sample):
+    for docs in (tricky, sample):
+        kept = exact_dedup.keep_one(docs)
+        assert kept.columns == docs.columns
+        want = {(d.doc_id, squeezed(d.text)) for d in docs.collect()}
+        groups = expect_dedup(docs.collect())
+        got = [(r.doc_id, squeezed(r.text)) for r in kept.collect()]
+        assert set(got) <= want and collections.Counter(i for i, _ in got) == sum((collections.Counter({i: n}) for (i, _, _, k), n in groups.items() if k), collections.Counter())
 
 
 # 7 mixing
