@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, read
+from .common import discard, materialize, pick, read
 from .graph import components
 
 COSINE = 0.95
@@ -34,12 +34,15 @@ CELL = 4096
 PIVOTS = 1024
 SLACK = 1e-6  # added to every bound: pruning must not depend on rounding
 _ROWS = 512
+GROUP = 4
 #: Radius of a cell's first net. Wider nodes than about twice the threshold's reach are rarely pruned against each other.
 TOP = 0.5
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. Scaling by the largest component first keeps squares of any finite vector inside double range."""
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0.0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -57,6 +60,8 @@ def build(x: np.ndarray, at: np.ndarray | None = None, radius: float = 1.0) -> d
     for i in range(len(at)):  # greedy net: the first point without a centre becomes one
         if owner[i] < 0:
             owner[(near[i] <= radius) & (owner < 0)] = i
+            owner[i] = i
+    assert (owner >= 0).all(), "a point without a centre would be lost"
     centres = np.unique(owner)
     node = {"c": at[centres], "r": np.zeros(len(centres)), "k": {}}
     order = np.argsort(owner, kind="stable")
@@ -126,44 +131,55 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Single precision where it holds the same values."""
+    with np.errstate(over="ignore"):
+        y = x.astype(np.float32)
+    return y if np.array_equal(y, x) else x
+
+
 def _grown(table: pa.Table) -> pa.Table:
     """One cell to its cover tree."""
     table = table.combine_chunks()
     raw = np.array(table.column("vec").to_pylist(), dtype=np.float64)
     tree = build(_unit(raw), radius=TOP)
-    blob = pickle.dumps((table.column("cid").to_numpy(), table.column("w").to_numpy(), raw, tree))
+    blob = pickle.dumps((table.column("cid").to_numpy(), table.column("w").to_numpy(), _narrow(raw), tree))
     far = max(x for x in table.column("far").to_pylist())
     return pa.table({"p": table.column("p").slice(0, 1), "sub": table.column("sub").slice(0, 1), "far": pa.array([far]), "tree": pa.array([blob], pa.binary())})
 
 
 def _compared(cosine: float):
-    """Pairs of cells to rows (a, null, linked weight) and (a, b, null), b a link of a spanning forest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                one, two = batch.column("ta")[k].as_buffer().to_pybytes(), batch.column("tb")[k].as_buffer().to_pybytes()
-                same = batch.column("same")[k].as_py()
-                ids, w, raw, tree = pickle.loads(one)
-                ids2, w2, raw2, tree2 = (ids, w, raw, tree) if same else pickle.loads(two)
-                x = _unit(raw)
-                y = x if same else _unit(raw2)
-                n = len(ids)
-                total, total2 = np.zeros(n, np.int64), np.zeros(len(ids2), np.int64)
-                label = np.arange(n if same else n + len(ids2))
-                for i, j in dual(tree, x, tree2, y, cosine):
-                    if same:
-                        i, j = i[i != j], j[i != j]
-                    np.add.at(total, i, w2[j])
-                    if not same:
-                        np.add.at(total2, j, w[i])
-                    _join(label, i, j if same else j + n)
-                every = ids if same else np.concatenate([ids, ids2])
-                tied = np.nonzero(label != np.arange(len(label)))[0]
-                for own, t in ((ids, total),) if same else ((ids, total), (ids2, total2)):
-                    at = np.nonzero(t)[0]
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(own[at], pa.int64()), "b": pa.nulls(len(at), pa.int64()), "n": pa.array(t[at])})
-                yield pa.RecordBatch.from_pydict({"a": pa.array(every[tied], pa.int64()), "b": pa.array(every[label[tied]], pa.int64()), "n": pa.nulls(len(tied), pa.int64())})
+    """The cells of two groups and the pairs of them that meet to rows (a, null, linked weight) and (a, b, null), b a link of a spanning forest."""
+
+    def pair(one: tuple, two: tuple, same: bool) -> Iterator[pa.Table]:
+        (ids, w, x, tree), (ids2, w2, y, tree2) = one, two
+        n = len(ids)
+        total, total2 = np.zeros(n, np.int64), np.zeros(len(ids2), np.int64)
+        label = np.arange(n if same else n + len(ids2))
+        for i, j in dual(tree, x, tree2, y, cosine):
+            if same:
+                i, j = i[i != j], j[i != j]
+            np.add.at(total, i, w2[j])
+            if not same:
+                np.add.at(total2, j, w[i])
+            _join(label, i, j if same else j + n)
+        every = ids if same else np.concatenate([ids, ids2])
+        tied = np.nonzero(label != np.arange(len(label)))[0]
+        for own, t in ((ids, total),) if same else ((ids, total), (ids2, total2)):
+            at = np.nonzero(t)[0]
+            yield pa.table({"a": pa.array(own[at], pa.int64()), "b": pa.nulls(len(at), pa.int64()), "n": pa.array(t[at])})
+        yield pa.table({"a": pa.array(every[tied], pa.int64()), "b": pa.array(every[label[tied]], pa.int64()), "n": pa.nulls(len(tied), pa.int64())})
+
+    def run(cells: pa.Table, pairs: pa.Table) -> pa.Table:
+        found = {}
+        for p, sub, blob in zip(*(cells.column(c) for c in ("p", "sub", "tree"))):
+            ids, w, raw, tree = pickle.loads(blob.as_buffer().to_pybytes())
+            found[p.as_py(), sub.as_py()] = ids, w, _unit(raw), tree
+        out = [pa.table({"a": pa.nulls(0, pa.int64()), "b": pa.nulls(0, pa.int64()), "n": pa.nulls(0, pa.int64())})]
+        for r in pairs.to_pylist():
+            one, two = (r["pa"], r["sa"]), (r["pb"], r["sb"])
+            out += pair(found[one], found[two], one == two)
+        return pa.concat_tables(out)
 
     return run
 
@@ -211,10 +227,18 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, cell: int = CELL) ->
     reach = float(np.sqrt(2.0 - 2.0 * cosine)) + 2 * SLACK
     pairs = near.union(others).join(one, "pa").join(two, "pb").where((F.col("d") <= F.col("ra") + F.col("rb") + reach) & ((F.col("pa") < F.col("pb")) | (F.col("sa") <= F.col("sb"))))
     pairs = materialize(pairs.select("pa", "sa", "pb", "sb"), "cell-pairs")
-    full = pairs.join(trees.select(F.col("p").alias("pa"), F.col("sub").alias("sa"), F.col("tree").alias("ta")), ["pa", "sa"])
-    full = full.join(trees.select(F.col("p").alias("pb"), F.col("sub").alias("sb"), F.col("tree").alias("tb")), ["pb", "sb"])
-    full = full.withColumn("same", (F.col("pa") == F.col("pb")) & (F.col("sa") == F.col("sb"))).repartition(max(1, pairs.count() // 4), "pa", "sa", "pb", "sb")
-    found = materialize(full.select("ta", "tb", "same").mapInArrow(_compared(cosine), "a long, b long, n long"), "vector-links")
+    # Groups of GROUP cells meet in one task, so a tree goes to as many tasks as there are groups near it, not cells. One row per cell here.
+    nth = F.row_number().over(Window.orderBy("p", "sub"))
+    groups = trees.select("p", "sub", F.floor((nth - 1) / GROUP).cast("long").alias("g"))
+    meet = pairs.join(groups.toDF("pa", "sa", "ga"), ["pa", "sa"]).join(groups.toDF("pb", "sb", "gb"), ["pb", "sb"])
+    meet = materialize(meet.select("ga", "gb", "pa", "sa", "pb", "sb"), "cell-meetings")
+    sent = meet.select("ga", "gb", F.explode(F.array(F.struct(F.col("pa").alias("p"), F.col("sa").alias("sub")), F.struct(F.col("pb").alias("p"), F.col("sb").alias("sub")))).alias("c")).distinct()
+    sent = sent.select("ga", "gb", "c.p", "c.sub").join(trees.select("p", "sub", "tree"), ["p", "sub"]).select("ga", "gb", "p", "sub", "tree")
+    sent = sent.toDF("ga1", "gb1", "p", "sub", "tree")
+    tasks = max(1, meet.select("ga", "gb").distinct().count())
+    both = sent.repartition(tasks, "ga1", "gb1").groupBy("ga1", "gb1").cogroup(meet.repartition(tasks, "ga", "gb").groupBy("ga", "gb"))
+    found = materialize(both.applyInArrow(_compared(cosine), "a long, b long, n long"), "vector-links")
+    discard(placed, trees, pairs, meet)
     linked = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("linked"))
     roots = components(found.where("b is not null").select("a", "b"))
     known = classes.join(linked, "cid", "left").join(roots, F.col("cid") == F.col("node"), "left")

@@ -485,6 +485,33 @@ def test_cover_tree(spark, rng):
     assert cover_tree.near_vectors(df.limit(0)).count() == 0
 
 
+def brute_vectors(vecs, cosine=0.95):
+    """(n_links, component, kept) of each vector, by exact scaling and all pairs."""
+    n = len(vecs)
+    x = np.array(vecs, dtype=np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= cosine
+    links = [[j for j in range(n) if near[i, j] and i != j] for i in range(n)]
+    label = components_of(n, links)
+    return {i: (len(links[i]), label[i], label[i] == i) for i in range(n)}
+
+
+def test_cover_tree_of_extreme_vectors(spark):
+    vecs = [(1e-200, 1e-200), (0.0, 1.0), (0.01, 1.0), (1e200, 1e200), (5e-324, 0.0), (1.7e308, 1e292), (-1e200, -1e200), (3e-310, 3e-310), (-1.0, 1e-9)]
+    df = spark.createDataFrame([(i, list(v)) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
+    for cell in (4096, 2):
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_vectors(df, cell=cell).collect()} == brute_vectors(vecs)
+
+
+def test_cover_tree_with_many_cells_and_links(spark, rng):
+    centres = rng.normal(size=(90, 16))
+    vecs = [(centres[k % 90] + rng.normal(size=16) * 0.12).tolist() for k in range(900)]
+    df = spark.createDataFrame(list(enumerate(vecs)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_vectors(df, cell=40).collect()}
+    assert got == brute_vectors(vecs) and sum(n for n, _, _ in got.values()) > 3000
+
+
 # 3 URLs
 
 
