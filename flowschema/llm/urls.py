@@ -2,19 +2,22 @@
 
 Rules are (verdict, host suffix, path prefix); a rule fits its host and all subdomains, and the longest fitting rule wins.
 Other URLs are judged by boosted trees on lexical features alone: lengths, depth, digit ratio, entropy, numbers of
-parameters and hyphens, and statistics of the host's suffixes among the training URLs. URLs are labelled by the document that a page renders (the number in
-its path is the document's identifier): block if it is marked as of low quality or toxic.
+parameters and hyphens, and statistics of the host's suffixes among the training URLs.
 
-The trees are fitted on the driver on at most TRAIN_ROWS labelled URLs, those with the smallest hash; every URL is judged.
+Labelled URLs: block if a part of the host is a word of the seed list, as block lists of hosts have them; allow if the host has none
+and the document that the page renders (the number in its path) is marked as good and not toxic. Documents marked as bad
+say nothing of their URL (README has the figures), so their URLs are not labelled unless by a seed. The trees never see the words of a host, so
+what they learn from seeds must carry over to other hosts; the cut is the one with the best F1 on hosts that were held out.
+
+Suffix statistics count all labelled URLs and their hosts below each suffix, in SUFFIX_BUCKETS hashed buckets. They don't look at the
+labels, so a URL's own label can't speak for it. The trees are fitted on the driver on about 0.9 x TRAIN_ROWS different labelled
+URLs, those whose hash lies below a threshold; every URL is judged.
 Defined cases: a null url, or one without ://, has an empty host and path and is judged by the trees like others; without
-labelled URLs nothing is blocked but by rules; repeated rows are judged alike; an empty table gives an empty result.
+seeds among the URLs nothing is blocked but by rules; repeated rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, read
+from .common import discard, materialize, pick, read
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+SEEDS = ("ads", "bets", "casino", "pills")
 TRAIN_ROWS = 20_000
 FOLDS = 5
+SUFFIXES, SUFFIX_BUCKETS = 3, 1 << 14
 TREES, DEPTH, RATE, CUTS = 40, 3, 0.15, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,27 +54,60 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return name, verdict
 
 
-_SUFFIXES = 3
+def suffixes(host: Column) -> Column:
+    """Hashed buckets of the last 1 to SUFFIXES parts of a host; -1 where it has fewer parts."""
+    parts = F.size(F.split(host, "\\."))
+    one = lambda k: F.when(parts >= k, F.pmod(F.xxhash64(F.substring_index(host, ".", -k)), F.lit(SUFFIX_BUCKETS)).cast("int")).otherwise(-1)
+    return F.array(*(one(k) for k in range(1, SUFFIXES + 1)))
+
+
+def described(urls: DataFrame) -> DataFrame:
+    """urls (url, host, path, ...) with what the features need besides: query, longest part of the host, suffix buckets."""
+    query = F.coalesce(F.regexp_extract(F.regexp_extract("url", r"^([^#]*)", 1), r"\?(.*)$", 1), F.lit(""))
+    longest = F.array_max(F.transform(F.split("host", "[.-]"), lambda x: F.length(x)))
+    return urls.withColumn("query", query).withColumn("longest", longest).withColumn("suffixes", suffixes(F.col("host")))
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """Counts of the byte values of each text: rows x 256."""
+    texts = column.fill_null("").cast(pa.binary())
+    size = np.asarray(pa.compute.binary_length(texts)).astype(np.int64)
+    joined = np.frombuffer(b"".join(texts.to_pylist()), dtype=np.uint8)
+    row = np.repeat(np.arange(len(texts)), size)
+    return np.bincount(row * 256 + joined, minlength=256 * len(texts)).reshape(-1, 256)
+
 
+def features(table: pa.RecordBatch | pa.Table, statistics: Suffixes) -> np.ndarray:
+    """Features of described URLs."""
+    one = lambda c: x.combine_chunks() if isinstance(x := table.column(c), pa.ChunkedArray) else x
+    url, host, path, query = (_bytes_of(one(c)) for c in ("url", "host", "path", "query"))
+    count = lambda t, chars: t[:, list(chars)].sum(1)
+    n = np.maximum(url.sum(1), 1)
+    share = url / n[:, None]
+    entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(1)
+    digits = b"0123456789"
+    ends = np.array([(p or "").endswith("/") for p in one("path").to_pylist()], dtype=float)
+    secure = np.array([(u or "").startswith("https") for u in one("url").to_pylist()], dtype=float)
+    return np.column_stack([
+        url.sum(1), host.sum(1), path.sum(1), count(path, b"/"), count(host, b"."), count(url, digits) / n, count(host, digits) / np.maximum(host.sum(1), 1), entropy,
+        count(query, b"&") + (query.sum(1) > 0), count(query, b"="), query.sum(1), count(url, b"#") > 0, count(host, b"-"), count(path, b"-_"), secure,
+        np.asarray(one("longest").fill_null(0)), ends, count(path, b"."), count(url, b"%@~!$*'"), statistics.of(table),
+    ]).astype(float)
 
-def suffixes(host: str) -> list[str]:
-    parts = host.split(".")
-    return [".".join(parts[-k:]) if len(parts) >= k else "" for k in range(1, _SUFFIXES + 1)]
 
+class Suffixes:
+    """Labelled URLs and their different hosts below each suffix bucket; the last bucket is that of missing suffixes, always empty."""
 
-def features(url: str | None, host: str, path: str, rates: dict[str, tuple[float, float]], prior: float) -> list[float]:
-    u = url or ""
-    n = max(len(u), 1)
-    counts = np.array(list(Counter(u).values()) or [1]) / n
-    query = u.partition("?")[2].partition("#")[0]
-    stats = []
-    for s in suffixes(host):
-        bad, seen = rates.get(s, (0.0, 0.0))
-        stats += [(bad + 20 * prior) / (seen + 20), float(np.log1p(seen))]
-    return [
-        len(u), len(host), len(path), path.count("/"), host.count("."), sum(c.isdigit() for c in u) / n, sum(c.isdigit() for c in host) / max(len(host), 1), float(-(counts * np.log2(counts)).sum()),
-        query.count("&") + bool(query), query.count("="), len(query), "#" in u, host.count("-"), path.count("-") + path.count("_"), u.startswith("https"), max(map(len, re.split(r"[./-]", host))), path.endswith("/"), path.count("."), sum(c in "%@~!$*'" for c in u), *stats,
-    ]
+    def __init__(self, rows: pa.Table | None = None):
+        self.seen = np.zeros((2, SUFFIX_BUCKETS + 1))
+        if rows is not None and len(rows):
+            self.seen[:, rows.column("bucket").to_numpy()] = rows.column("urls").to_numpy(), rows.column("hosts").to_numpy()
+
+    def of(self, table: pa.RecordBatch | pa.Table) -> np.ndarray:
+        column = table.column("suffixes")
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        at = column.flatten().to_numpy(zero_copy_only=False).reshape(len(table), SUFFIXES)
+        return np.log1p(np.hstack(self.seen[:, at]))
 
 
 class Boosted:
@@ -78,8 +116,7 @@ class Boosted:
     def __init__(self) -> None:
         self.trees: list[list[tuple]] = []
         self.bias = -10.0
-        self.rates: dict[str, tuple[float, float]] = {}
-        self.prior = 0.0
+        self.cut = 0.5
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
         self.bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
@@ -127,56 +164,90 @@ class Boosted:
         return 1 / (1 + np.exp(-score))
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Boosted:
-    """Fit on at most rows URLs (url, host, path, label 1 for block), those with the smallest hash."""
-    sample = labelled.orderBy(F.xxhash64("url"), "url", "label").limit(rows).collect()
-    model = Boosted()
-    if not sample:
-        return model
-    y = np.array([float(r.label) for r in sample])
-    model.prior = float(y.mean())
-    # A row's own label must not speak for it: while fitting, statistics come from the other folds.
-    fold = [zlib.crc32((r.url or "").encode()) % FOLDS for r in sample]
-
-    def rates(rows: list) -> dict[str, tuple[float, float]]:
-        bad, seen = Counter(), Counter()
-        for r in rows:
-            for s in suffixes(r.host):
-                bad[s] += r.label
-                seen[s] += 1
-        return {s: (float(bad[s]), float(n)) for s, n in seen.items()}
-
-    others = [rates([r for r, g in zip(sample, fold) if g != f]) for f in range(FOLDS)]
-    x = np.array([features(r.url, r.host, r.path, others[f], model.prior) for r, f in zip(sample, fold)], dtype=float)
-    model.rates = rates(sample)
-    return model.fit(x, y)
-
-
-def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """url, host, path, label of the pages whose document has a mark."""
+def best_cut(score: np.ndarray, y: np.ndarray) -> float:
+    """The cut (block at or above it) with the best F1, half way to the next lower score."""
+    order = np.argsort(-score, kind="stable")
+    s, hit = score[order], np.cumsum(y[order])
+    last = np.append(s[1:] != s[:-1], True)  # a cut can't part equal scores
+    f1 = np.where(last, 2 * hit / (np.arange(1, len(s) + 1) + y.sum()), -1)
+    k = int(f1.argmax())
+    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
+
+
+class Judge:
+    """The fitted filter: trees, suffix statistics, and the scores and labels of hosts held out."""
+
+    def __init__(self) -> None:
+        self.model, self.suffixes = Boosted(), Suffixes()
+        self.held_out: tuple[np.ndarray, np.ndarray] = np.zeros(0), np.zeros(0)
+
+    def probability(self, table: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return self.model.probability(features(table, self.suffixes))
+
+
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Judge:
+    """Fit on URLs (url, host, path, label 1 for block): counts of all of them, trees on a bounded share of the different ones."""
+    out = Judge()
+    distinct = described(labelled.groupBy("url", "host", "path").agg(F.max("label").alias("label")))
+    fold = F.pmod(F.xxhash64(F.substring_index("host", ".", -SUFFIXES)), F.lit(FOLDS)).cast("int")
+    distinct = materialize(distinct.withColumn("fold", fold), "url-labels")
+    below = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("urls"), F.first("suffixes").alias("suffixes")).select("urls", F.explode("suffixes").alias("bucket"))
+    counts = below.where("bucket >= 0").groupBy("bucket").agg(F.sum("urls").cast("double").alias("urls"), F.count(F.lit(1)).cast("double").alias("hosts"))
+    out.suffixes = Suffixes(counts.toArrow())  # SUFFIX_BUCKETS rows at most
+    n, blocked = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not blocked:
+        discard(distinct)
+        return out
+    # A share of the hash space that holds 0.9 x rows URLs on average, far from the bound: they are different URLs.
+    span = 1 << 40
+    sample = distinct.where(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(span)) < F.lit(int(span * min(1.0, 0.9 * rows / n)))).toArrow()
+    discard(distinct)
+    sample = sample.sort_by("url")
+    y, of = sample.column("label").to_numpy().astype(float), sample.column("fold").to_numpy()
+    x = features(sample, out.suffixes)
+    held, known = np.zeros(len(y)), np.zeros(len(y), dtype=bool)
+    for f in set(of[:].tolist()):
+        rest = of != f
+        if 0 < y[rest].sum() < rest.sum():
+            held[~rest] = Boosted().fit(x[rest], y[rest]).probability(x[~rest])
+            known[~rest] = True
+    out.model.fit(x, y)
+    out.held_out = held[known], y[known]
+    if 0 < y[known].sum() < known.sum():
+        out.model.cut = best_cut(*out.held_out)
+    return out
+
+
+def labelled_urls(pages: DataFrame, labels: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """url, host, path, label of the pages that a seed or a good document labels."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select("url", host.alias("host"), path.alias("path"))
     number = F.expr("try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') as bigint)")
-    marks = pick(labels, "doc_id", "quality", "toxic").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("label"))
-    return urls.withColumn("doc", number).join(marks, "doc").drop("doc")
+    good = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    marks = pick(labels, "doc_id", "quality", "toxic").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min(good.cast("int")).alias("good")).where("good = 1")
+    seeded = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seeds))) if seeds else F.lit(False)
+    urls = urls.withColumn("seeded", seeded)
+    allowed = urls.where(~F.col("seeded")).withColumn("doc", number).join(marks, "doc", "left_semi")
+    return urls.where("seeded").select("url", "host", "path", F.lit(1).alias("label")).union(allowed.select("url", "host", "path", F.lit(0)))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, cut: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...] = SEEDS, rows: int = TRAIN_ROWS, filter_: Judge | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, score (probability of block) for every row of pages (page_id, url)."""
     pages = pick(pages, "page_id", "url")
-    model = train(labelled_urls(pages, labels))
+    fitted = filter_ or train(labelled_urls(pages, labels, seeds), rows)
     kind = pages.schema["page_id"].dataType.simpleString()
+    kept = ("page_id", "host", "path", "rule", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(*r, model.rates, model.prior) for r in zip(*(b.column(c).to_pylist() for c in ("url", "host", "path")))], dtype=float)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "host", "path", "rule", "fixed")), pa.array(model.probability(x))], names=["page_id", "host", "path", "rule", "fixed", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fitted.probability(b) if len(b) else [], pa.float64())], names=[*kept, "score"])
 
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    urls = described(pages.select("page_id", "url", host.alias("host"), path.alias("path")))
     name, fixed = rule_of(F.col("host"), F.col("path"), rules)
-    scored = rows.select("page_id", "url", "host", "path", name.alias("rule"), fixed.alias("fixed")).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, fixed string, score double")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("fixed", F.when(F.col("score") >= cut, "block").otherwise("allow")).alias("verdict"), "score")
+    scored = urls.withColumn("rule", name).withColumn("fixed", fixed).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, fixed string, score double")
+    verdict = F.coalesce("fixed", F.when(F.col("score") >= fitted.model.cut, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
