@@ -8,13 +8,13 @@ the context without its first byte, where the symbols of the longer context are
 context all remaining bytes are alike. So the probability of a symbol depends only on it and the ORDER bytes before it
 (its gram), and on the counts of contexts that end in the same bytes.
 
-The work. Each block of documents lists its distinct grams once, sorted and packed by the last _KNOWN + 1 bytes of their contexts.
-One shuffle brings together, from all blocks, the grams of a bucket, whose longer contexts are all there; the contexts of up to
-_KNOWN bytes are summed in one table, which the alphabet bounds, and broadcast. The probabilities return to their
-blocks, where they meet the documents.
-
-The word-unigram base takes the same way: each block lists its words once, by number; they are counted over all blocks in
-one shuffle, and the counts return to their block. Neither the vocabulary nor the longer contexts are broadcast or collected.
+The work. Each block of documents asks once for each of its different grams and words: requests are packed, one row for each
+bucket that the block needs. A gram's bucket is that of the last _KNOWN + 1 bytes of its context, so all its longer contexts are there; the
+contexts of up to _KNOWN bytes are summed in one table, which the alphabet bounds, and broadcast. One shuffle brings the
+requests of a bucket together; the answers (probabilities, or the corpus counts of words for the word-unigram base) return to
+their blocks, where they meet the documents. The number of buckets follows the bytes of the input; beyond BUCKETS_MOST of them the requests of a
+bucket are first merged in salted groups of blocks, and the answers take the same way back, so neither a task nor a broadcast grows with the corpus
+but by the different grams of one bucket. Documents travel compressed, and tables are deleted as soon as they are used up.
 
 Defined cases: a null text counts as empty (the end token alone); a null identifier counts as the empty text in the
 split; repeated rows are scored and counted as often as they occur; without training rows every byte has
@@ -24,15 +24,16 @@ probability 1/256; an empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, empty_like, id_crc, materialize, pick, read, scratch_dir
+from .common import LOWER, discard, empty_like, id_crc, materialize, pick, read, scratch_path
 
 ORDER = 6
 END = b"\n"
@@ -41,6 +42,8 @@ _CHUNK = 2 << 20
 _KNOWN = 2
 _BLOCK_BYTES = 12 << 20
 _BLOCK_ROWS = 60_000
+#: Bytes of text for each bucket of grams, the number of buckets, and bytes of text that a task may answer for.
+BUCKET_BYTES, BUCKETS_LEAST, BUCKETS_MOST, SALT_BYTES = 4 << 20, 256, 4096, 64 << 20
 SEGMENT = 512
 _STATES_AT_ONCE = 8192
 
@@ -50,6 +53,22 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(LOWER).split()
 
 
+def _slices(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of about size bytes, cut at white space, so that a very long text is never one list of words."""
+    at = 0
+    while at < len(raw):
+        end = at + size
+        while end < len(raw) and raw[end] not in b" \t\n\x0b\f\r":
+            end += 1
+        yield raw[at:end]
+        at = end
+
+
+def line_of(raw: bytes) -> bytes:
+    """The words of a text, joined by single spaces."""
+    return b" ".join(x for x in (b" ".join(words_of(part)) for part in _slices(raw)) if x)
+
+
 def _bytes(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
@@ -100,7 +119,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for t in b.column("text"):
-            line = b" ".join(words_of(_bytes(t)))
+            line = line_of(_bytes(t))
             held.append(_PAD + line + END)
             size += len(line) + ORDER + 1
             if size >= _CHUNK:
@@ -235,24 +254,45 @@ def _mask(size: int) -> np.uint64:
     return np.uint64((1 << 8 * size) - 1)
 
 
-def _placed(grams: np.ndarray) -> np.ndarray:
-    """Grams with their bucket, which only the last _KNOWN + 1 bytes of the context decide, in the free byte above."""
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each gram, which only the last _KNOWN + 1 bytes of its context decide."""
     last = (grams >> np.uint64(8)) & _mask(_KNOWN + 1)
-    return grams | ((last * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)) << np.uint64(56)
+    return ((last * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
+
+
+def _zip(*arrays: np.ndarray) -> bytes:
+    """Integers of any size, byte plane by byte plane, compressed; empty high planes are left out."""
+    out = [len(arrays).to_bytes(1, "little")]
+    for x in arrays:
+        planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+        width = next((k for k in range(8, 0, -1) if planes[:, k - 1].any()), 0)
+        body = planes[:, :width].T.tobytes()
+        packed = pa.compress(body, codec="zstd", asbytes=True) if body else b""
+        out.append(len(x).to_bytes(5, "little") + width.to_bytes(1, "little") + len(packed).to_bytes(5, "little") + packed)
+    return b"".join(out)
+
 
+def _unzip(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 1
+    for _ in range(raw[0]):
+        n, width, size = int.from_bytes(raw[at : at + 5], "little"), raw[at + 5], int.from_bytes(raw[at + 6 : at + 11], "little")
+        x = np.zeros((n, 8), np.uint8)
+        if width:
+            x[:, :width] = np.frombuffer(pa.decompress(raw[at + 11 : at + 11 + size], decompressed_size=n * width, codec="zstd"), np.uint8).reshape(width, n).T
+        out.append(x.view("<u8").ravel())
+        at += 11 + size
+    return out
 
-def _packed(keys: np.ndarray, times: np.ndarray) -> bytes:
-    """Sorted grams of one bucket and their counts, byte plane by byte plane, compressed."""
-    planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ORDER + 1].T.tobytes() + times.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(keys).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
+def _zip_words(words: list[bytes], times: np.ndarray) -> bytes:
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    return _zip(size, np.frombuffer(b"".join(words), np.uint8), times)
 
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(raw[:4], "little")
-    planes = np.frombuffer(pa.decompress(raw[4:], decompressed_size=n * (ORDER + 5), codec="zstd", asbytes=True), np.uint8).reshape(-1, n)
-    keys, times = np.zeros((n, 8), np.uint8), np.ascontiguousarray(planes[ORDER + 1 :].T)
-    keys[:, : ORDER + 1] = planes[: ORDER + 1].T
-    return keys.view("<u8").ravel(), times.view("<i4").ravel()
+
+def _unzip_words(raw: bytes) -> tuple[pa.Array, np.ndarray]:
+    size, body, times = _unzip(raw)
+    ends = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(body.astype(np.uint8))]), times.astype(np.int64)
 
 
 class Level:
@@ -293,153 +333,272 @@ def _levels(keys: np.ndarray, n: np.ndarray, order: int, below: Level | None) ->
     return below
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to rows of four kinds: a document (line), a word of a block, a packed bucket of its grams, and a pair of order _KNOWN (number)."""
-    ids: defaultdict[bytes, int] = defaultdict()
-    ids.default_factory = ids.__len__
-    held: list[tuple] = []
-    schema: pa.Schema | None = None
-
-    def rows(kind: str, n: int, **columns: pa.Array) -> pa.RecordBatch:
-        columns["kind"] = pa.array([kind] * n, pa.string())
-        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        block, n = uuid.uuid4().int >> 65, len(held)
-        for i in range(0, n, 4096):
-            part = held[i : i + 4096]
-            yield rows("text", len(part), block=pa.array([block] * len(part)), doc_id=pa.array([x[0] for x in part], schema.field("doc_id").type), held_out=pa.array([x[1] for x in part]), seq=pa.array(range(i, i + len(part)), pa.int32()), line=pa.array([x[2] for x in part], pa.binary()))
-        n_train = np.zeros(len(ids), dtype=np.int64)
-        for _, out, _, number in held:
-            if not out:
-                np.add.at(n_train, number, 1)
-        names = list(ids)
-        for i in range(0, len(names), 100_000):
-            m = len(names[i : i + 100_000])
-            yield rows("word", m, block=pa.array([block] * m), word=pa.array(names[i : i + m], pa.binary()), number=pa.array(np.arange(i, i + m, dtype=np.int32)), n_train=pa.array(n_train[i : i + m]))
-        parts = []
-        for out in (False, True):
-            for lines in _chunks([x[2] for x in held if x[1] == out]):
-                k, times = _counted(gram_keys(b"".join(_PAD + x + END for x in lines)))
-                parts.append((_placed(k), times * (not out)))
-        keys, times = _counted(np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts]))
-        pair, of_pair = _counted(keys & _mask(_KNOWN + 1), times)
-        for i in range(0, len(pair), 100_000):
-            m = len(pair[i : i + 100_000])
-            yield rows("pair", m, block=pa.array([block] * m), number=pa.array(pair[i : i + m].astype(np.int32)), n_train=pa.array(of_pair[i : i + m]))
-        cut = np.searchsorted(keys, np.arange(256, dtype=np.uint64) << np.uint64(56)).tolist() + [len(keys)]
-        some = [b for b in range(256) if cut[b] < cut[b + 1]]
-        yield rows(
-            "gram", len(some), block=pa.array([block] * len(some)), bucket=pa.array(some, pa.int32()),
-            grams=pa.array([_packed(keys[cut[b] : cut[b + 1]], times[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
-        )
-        held.clear()
-        ids.clear()
+def _keys(stream: bytes) -> Iterator[np.ndarray]:
+    """gram_keys() of a stream in chunks, in order."""
+    for at in range(0, len(stream) - ORDER, _CHUNK):
+        yield gram_keys(stream[at : at + _CHUNK + ORDER])
+
+
+def _distinct(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for k in _keys(b"".join(_PAD + x + END for x in lines)):
+        parts.append(_counted(k))
+        if sum(len(x) for x, _ in parts) > 1 << 22:
+            parts = [_counted(*map(np.concatenate, zip(*parts)))]
+    return _counted(*map(np.concatenate, zip(*parts)))
+
+
+def _scan(buckets: int):
+    """Documents to rows of three kinds: documents of a block (text), its packed requests to a bucket (ask), and its pairs of order _KNOWN (pair).
+
+    Buckets of grams are numbered from 0, those of words from -1 down."""
+    word_buckets = max(1, buckets // 4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: defaultdict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        held: list[tuple] = []
+        schema: pa.Schema | None = None
+
+        def rows(kind: str, n: int, /, **columns: pa.Array) -> pa.RecordBatch:
+            columns["kind"] = pa.array([kind] * n, pa.string())
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            block = uuid.uuid4().int >> 65
+            for i, j in _runs([len(x[2]) for x in held], 1 << 20):
+                part = held[i:j]
+                lines = END.join([*(x[2] for x in part), b""])
+                packed = len(lines).to_bytes(8, "little") + pa.compress(lines, codec="zstd", asbytes=True)
+                yield rows("text", 1, block=pa.array([block]), seq=pa.array([i], pa.int32()), ids=pa.array([[x[0] for x in part]], schema.field("ids").type), held=pa.array([[x[1] for x in part]]), data=pa.array([packed], pa.binary()))
+            n_train = np.zeros(len(ids), dtype=np.int64)
+            for _, out, _, number in held:
+                if not out:
+                    np.add.at(n_train, number, 1)
+            names = list(ids)
+            place = np.fromiter((zlib.crc32(w) % word_buckets for w in names), dtype=np.int64, count=len(names))
+            order = np.argsort(place, kind="stable")
+            for b, at in _parts(place[order]):
+                mine = order[at]
+                yield rows("ask", 1, block=pa.array([block]), bucket=pa.array([-1 - b], pa.int32()), data=pa.array([_zip_words([names[i] for i in mine], n_train[mine])], pa.binary()))
+            (k1, t1), (k2, t2) = (_distinct([x[2] for x in held if x[1] == out]) for out in (False, True))
+            keys, times = _counted(np.concatenate([k1, k2]), np.concatenate([t1, t2 * 0]))
+            pair, of_pair = _counted(keys & _mask(_KNOWN + 1), times)
+            for i in range(0, len(pair), 100_000):
+                m = len(pair[i : i + 100_000])
+                yield rows("pair", m, block=pa.array([block] * m), bucket=pa.array(pair[i : i + m].astype(np.int32)), n=pa.array(of_pair[i : i + m]))
+            place = _bucket(keys, buckets)
+            order = np.argsort(place, kind="stable")
+            keys, times = keys[order], times[order]
+            for b, at in _parts(place[order]):
+                yield rows("ask", 1, block=pa.array([block]), bucket=pa.array([b], pa.int32()), data=pa.array([_zip(keys[at], times[at])], pa.binary()))
+            held.clear()
+            ids.clear()
 
-    size = 0
-    for b in batches:
-        schema = schema or pa.schema(
-            [("block", pa.int64()), ("doc_id", b.schema.field("doc_id").type), ("held_out", pa.bool_()), ("seq", pa.int32()), ("line", pa.binary()), ("word", pa.binary()), ("number", pa.int32()), ("n_train", pa.int64()), ("bucket", pa.int32()), ("grams", pa.binary()), ("kind", pa.string())]
-        )
-        for i, t, h in zip(b.column("doc_id"), b.column("text"), b.column("held_out")):
-            found = words_of(_bytes(t))
-            number = np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found))
-            held.append((i.as_py(), h.as_py(), b" ".join(found), number))
-            size += len(held[-1][2])
-            if size >= _BLOCK_BYTES or len(held) >= _BLOCK_ROWS:
-                yield from flush()
-                size = 0
-    if held:
-        yield from flush()
+        size = 0
+        for b in batches:
+            schema = schema or pa.schema(
+                [("block", pa.int64()), ("seq", pa.int32()), ("ids", pa.list_(b.schema.field("doc_id").type)), ("held", pa.list_(pa.bool_())), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("kind", pa.string())]
+            )
+            for i, t, h in zip(b.column("doc_id"), b.column("text"), b.column("held_out")):
+                line = line_of(_bytes(t))
+                held.append((i.as_py(), h.as_py(), line, _numbers(line, ids)))
+                size += len(line)
+                if size >= _BLOCK_BYTES or len(held) >= _BLOCK_ROWS:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    return run
 
 
-def _chunks(lines: list[bytes]) -> Iterator[list[bytes]]:
-    i = 0
-    while i < len(lines):
-        j, size = i, 0
-        while j < len(lines) and size < _CHUNK:
-            size += len(lines[j]) + ORDER + 1
-            j += 1
-        yield lines[i:j]
-        i = j
+def _numbers(line: bytes, ids: dict[bytes, int]) -> np.ndarray:
+    """The words of a line by number; ids numbers new words."""
+    parts = [np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words)) for words in (x.split() for x in _slices(line))]
+    return np.concatenate([np.zeros(0, np.int32), *parts])
 
 
-def _bucket_logp(known):
-    """The packed grams that all blocks have in a bucket to their log10 probabilities, in the same order."""
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items of about most bytes together."""
+    i, total = 0, 0
+    for j, n in enumerate(sizes, 1):
+        total += n + 1
+        if total >= most:
+            yield i, j
+            i, total = j, 0
+    if i < len(sizes):
+        yield i, len(sizes)
+
+
+def _parts(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    if len(sorted_values):
+        cut = [0, *(np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1).tolist(), len(sorted_values)]
+        for i, j in zip(cut, cut[1:]):
+            yield int(sorted_values[i]), slice(i, j)
+
+
+def _payloads(table: pa.Table) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() for x in table.column("data")]
+
+
+def _encoded(words: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """Different words, and the index of each word of all arrays in a row."""
+    coded = pa.chunked_array(words, pa.large_binary()).combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """All requests of a salted group of blocks to a bucket as one request."""
+    raw = _payloads(table)
+    if table.column("bucket")[0].as_py() < 0:
+        words, times = zip(*map(_unzip_words, raw))
+        different, at = _encoded(list(words))
+        data = _zip_words(different.to_pylist(), np.bincount(at, weights=np.concatenate(times), minlength=len(different)).astype(np.int64))
+    else:
+        keys, times = zip(*map(_unzip, raw))
+        data = _zip(*_counted(np.concatenate(keys), np.concatenate(times).astype(np.int64)))
+    return table.slice(0, 1).select(["salt", "bucket"]).append_column("data", pa.array([data], pa.binary()))
+
+
+def _answers(known):
+    """The requests to a bucket to its answers: data holds, in the order of a request, log10 probabilities or corpus counts.
+
+    n, v (of a bucket of words, in its first row): training words, and different ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, times = zip(*(_unpacked(x.as_buffer().to_pybytes()) for x in table.column("grams")))
-        grams, n = _counted(np.concatenate(keys), np.concatenate(times).astype(np.int64))
-        logp = _levels(grams, n, ORDER, known.value).logp().astype("<f4")
-        return table.select(["block", "bucket"]).append_column("logp", pa.array([logp[np.searchsorted(grams, k)].tobytes() for k in keys], pa.binary()))
+        raw, rows = _payloads(table), len(table)
+        n, v = [0] * rows, [0] * rows
+        if table.column("bucket")[0].as_py() < 0:
+            words, times = zip(*map(_unzip_words, raw))
+            different, at = _encoded(list(words))
+            c = np.bincount(at, weights=np.concatenate(times), minlength=len(different)).astype(np.int64)
+            n[0], v[0] = int(c.sum()), int((c > 0).sum())
+            ends = np.cumsum([0, *map(len, words)])
+            out = [_zip(c[at[i:j]]) for i, j in zip(ends, ends[1:])]
+        else:
+            keys, times = zip(*map(_unzip, raw))
+            grams, count = _counted(np.concatenate(keys), np.concatenate(times).astype(np.int64))
+            logp = _levels(grams, count, ORDER, known.value).logp().astype("<f4").view("<u4")
+            out = [_zip_values(logp[np.searchsorted(grams, k)]) for k in keys]
+        kept = table.select([c for c in table.column_names if c != "data"])
+        return kept.append_column("data", pa.array(out, pa.binary())).append_column("n", pa.array(n, pa.int64())).append_column("v", pa.array(v, pa.int64()))
+
+    return run
+
+
+def _zip_values(x: np.ndarray) -> bytes:
+    """Few different values: those, and which of them each is."""
+    values, at = np.unique(x, return_inverse=True)
+    return _zip(values, at)
+
+
+def _unzip_values(raw: bytes) -> np.ndarray:
+    values, at = _unzip(raw)
+    return values.astype("<u4").view("<f4")[at.astype(np.int64)]
+
+
+def _spread(asked: pa.Table, merged: pa.Table) -> pa.Table:
+    """Answers to the one request of a salted group (data, with its request in keys) to those to each of its blocks."""
+    raw, whole, answer = _payloads(asked), merged.column("keys")[0].as_buffer().to_pybytes(), merged.column("data")[0].as_buffer().to_pybytes()
+    if asked.column("bucket")[0].as_py() < 0:
+        words = [_unzip_words(x)[0] for x in raw]
+        every = _unzip_words(whole)[0]
+        _, at = _encoded([every, *words])  # the first len(every) words are all different
+        c = _unzip(answer)[0]
+        ends = np.cumsum([len(every), *map(len, words)])
+        out = [_zip(c[at[i:j]]) for i, j in zip(ends, ends[1:])]
+    else:
+        every, value = _unzip(whole)[0], _unzip_values(answer).view("<u4")
+        out = [_zip_values(value[np.searchsorted(every, _unzip(x)[0])]) for x in raw]
+    return asked.select(["block", "bucket"]).append_column("data", pa.array(out, pa.binary()))
+
+
+def _returned(buckets: int):
+    """The documents of a block and the answers to its requests to sums for each document."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = texts.sort_by("seq")
+        lines, doc_ids, held = [], [], []
+        for ids, out, raw in zip(texts.column("ids"), texts.column("held"), texts.column("data")):
+            raw = raw.as_buffer().to_pybytes()
+            lines += pa.decompress(raw[8:], decompressed_size=int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True).split(END)[:-1]
+            doc_ids += ids.values.to_pylist() if isinstance(ids, pa.ListScalar) else ids.as_py()
+            held += out.as_py()
+        answer = dict(zip(answers.column("bucket").to_pylist(), _payloads(answers)))
+        ids: defaultdict[bytes, int] = defaultdict()  # the same numbers as in the scan
+        ids.default_factory = ids.__len__
+        number = [_numbers(x, ids) for x in lines]
+        names = list(ids)
+        word_buckets = max(1, buckets // 4)
+        place = np.fromiter((zlib.crc32(w) % word_buckets for w in names), dtype=np.int64, count=len(names))
+        count = np.zeros(len(names))
+        order = np.argsort(place, kind="stable")
+        for b, at in _parts(place[order]):
+            count[order[at]] = _unzip(answer[-1 - b])[0]
+        log, known = np.log10(count + 1.0), count > 0
+        stream = b"".join(_PAD + x + END for x in lines)
+        every = _distinct(lines)[0]
+        place = _bucket(every, buckets)
+        logp = np.zeros(len(every))
+        order = np.argsort(place, kind="stable")
+        for b, at in _parts(place[order]):
+            logp[order[at]] = _unzip_values(answer[b])
+        score, ends, done = np.zeros(len(lines)), np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1), 0
+        for keys in _keys(stream):
+            value = logp[np.searchsorted(every, keys)]
+            doc = np.searchsorted(ends, np.arange(done, done + len(keys)), side="right")
+            if len(doc):
+                score[doc[0] : doc[-1] + 1] += np.bincount(doc - doc[0], weights=value)
+            done += len(keys)
+        return pa.table({
+            "doc_id": pa.array(doc_ids, texts.schema.field("ids").type.value_type), "held_out": pa.array(held, pa.bool_()), "n_words": pa.array(list(map(len, number)), pa.int64()), "score": pa.array(score),
+            "log_sum": pa.array([float(log[x].sum()) for x in number], pa.float64()), "known": pa.array([int(known[x].sum()) for x in number], pa.int64()),
+        })
 
     return run
 
 
-def _returned(texts: pa.Table, values: pa.Table) -> pa.Table:
-    """The documents of a block, the corpus counts of its words and the probabilities of its grams to sums for each document."""
-    texts = texts.sort_by("seq")
-    lines = [x.as_buffer().to_pybytes() for x in texts.column("line")]
-    words = values.filter(values.column("number").is_valid())
-    number, c = words.column("number").to_numpy(), words.column("c").to_numpy()
-    by_number = np.zeros(int(number.max()) + 1 if len(number) else 0)
-    by_number[number] = c
-    log, known = np.log10(by_number + 1.0), by_number > 0
-    ids: defaultdict[bytes, int] = defaultdict()  # the same numbers as in the scan
-    ids.default_factory = ids.__len__
-    length, sums, hits = [], [], []
-    for line in lines:
-        found = line.split()
-        w = np.fromiter(map(ids.__getitem__, found), dtype=np.int32, count=len(found))
-        length.append(len(found))
-        sums.append(float(log[w].sum()))
-        hits.append(int(known[w].sum()))
-    packed = values.filter(values.column("bucket").is_valid()).sort_by("bucket")
-    logp = np.concatenate([np.frombuffer(x.as_buffer(), "<f4") for x in packed.column("logp")])
-    parts = []
-    for some in _chunks(lines):
-        keys, at = np.unique(_placed(gram_keys(b"".join(_PAD + x + END for x in some))), return_inverse=True)
-        parts.append((keys, at.astype(np.int32), np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 1))
-    every = np.unique(np.concatenate([k for k, _, _ in parts]))
-    score = []
-    for keys, at, size in parts:
-        value = logp[np.searchsorted(every, keys)].astype(np.float64)
-        score.append(np.add.reduceat(value[at], np.cumsum(size) - size))
-    out = texts.select(["doc_id", "held_out"]).append_column("n_words", pa.array(length, pa.int64())).append_column("score", pa.array(np.concatenate(score)))
-    return out.append_column("log_sum", pa.array(sums, pa.float64())).append_column("known", pa.array(hits, pa.int64()))
-
-
-def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, fold: int = 2, buckets_most: int = BUCKETS_MOST, salt_bytes: int = SALT_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text)."""
     docs = pick(docs, "doc_id", "text").withColumn("held_out", F.pmod(id_crc(), F.lit(folds)) == fold)
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"block long, doc_id {kind}, held_out boolean, seq int, line binary, word binary, number int, n_train long, bucket int, grams binary"
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "held_out")
-    # One folder for each kind of rows, so that the grams can go before the rest.
-    path = f"{scratch_dir(spark)}/ppm-scan-{uuid.uuid4().hex}"
-    rows.mapInArrow(_scan, f"{schema}, kind string").write.partitionBy("kind").parquet(path)
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = int(min(max(BUCKETS_LEAST, total // BUCKET_BYTES), buckets_most))
+    salts = int(max(1, -(-total // (buckets * salt_bytes))))
+    # One folder for each kind of rows, so that requests can go before the rest.
+    schema = f"block long, seq int, ids array<{kind}>, held array<boolean>, bucket int, n long, data binary"
+    path = scratch_path(spark, "ppm-scan")
+    rows.mapInArrow(_scan(buckets), f"{schema}, kind string").write.partitionBy("kind").parquet(path)
     there = {r.kind for r in spark.read.schema(f"{schema}, kind string").parquet(path).select("kind").distinct().collect()}
-    scanned = {k: spark.read.schema(schema).parquet(f"{path}/kind={k}") if k in there else empty_like(spark, schema) for k in ("text", "word", "pair", "gram")}
-    texts = scanned["text"].select("block", "doc_id", "held_out", "seq", "line")
+    scanned = {k: spark.read.schema(schema).parquet(f"{path}/kind={k}") if k in there else empty_like(spark, schema) for k in ("text", "ask", "pair")}
+    texts = scanned["text"].select("block", "seq", "ids", "held", "data")
     # The contexts of up to _KNOWN bytes: 2 ** 24 pairs at most, whatever the input.
-    low = scanned["pair"].groupBy("number").agg(F.sum("n_train").alias("n")).toArrow()
-    order = np.argsort(low.column("number").to_numpy())
-    known = spark.sparkContext.broadcast(_levels(low.column("number").to_numpy()[order].astype(np.uint64), low.column("n").to_numpy()[order], _KNOWN, None))
-    packed = scanned["gram"].select("block", "bucket", "grams")
-    packed = materialize(packed.groupBy("bucket").applyInArrow(_bucket_logp(known), "block long, bucket int, logp binary"), "ppm-logp")
-    discard(scanned["gram"])
-    # A word has one row in a block, so even the most frequent word is one narrow row per block of 12 MB of text.
-    same = Window.partitionBy("word")
-    words = scanned["word"].select("block", "number", "n_train", F.sum("n_train").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
-    words = materialize(words, "ppm-words")
-    discard(scanned["word"])
-    n_words, kinds = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
-    ends = texts.where(~F.col("held_out")).count()
+    low = scanned["pair"].groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(low.column("bucket").to_numpy())
+    known = spark.sparkContext.broadcast(_levels(low.column("bucket").to_numpy()[order].astype(np.uint64), low.column("n").to_numpy()[order], _KNOWN, None))
+    asked = scanned["ask"].select("block", "bucket", "data")
+    if salts == 1:
+        answers = materialize(asked.groupBy("bucket").applyInArrow(_answers(known), "block long, bucket int, data binary, n long, v long"), "ppm-answers")
+        sums = answers
+    else:
+        salted = asked.withColumn("salt", F.pmod("block", F.lit(salts)))
+        merged = materialize(salted.groupBy("bucket", "salt").applyInArrow(_merged, "salt long, bucket int, data binary"), "ppm-merged")
+        sums = materialize(merged.withColumn("keys", F.col("data")).groupBy("bucket").applyInArrow(_answers(known), "salt long, bucket int, keys binary, data binary, n long, v long"), "ppm-merged-answers")
+        both = salted.groupBy("bucket", "salt").cogroup(sums.select(F.col("bucket").alias("b"), F.col("salt").alias("s"), "keys", "data").groupBy("b", "s"))
+        answers = materialize(both.applyInArrow(_spread, "block long, bucket int, data binary"), "ppm-answers")
+        discard(merged)
+    n_words, kinds = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    ends = texts.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()[0]
+    discard(scanned["ask"], scanned["pair"])
+    if salts > 1:
+        discard(sums)
     n, v = n_words + ends, kinds + (ends > 0)
-    values = words.select("block", "number", "c", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("logp"))
-    values = values.union(packed.select("block", F.lit(None).cast("int"), F.lit(None).cast("long"), "bucket", "logp"))
-    summed = texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(_returned, f"doc_id {kind}, held_out boolean, n_words long, score double, log_sum double, known long")
+    back = answers.select(F.col("block").alias("b"), "bucket", "data")
+    summed = texts.groupBy("block").cogroup(back.groupBy("b")).applyInArrow(_returned(buckets), f"doc_id {kind}, held_out boolean, n_words long, score double, log_sum double, known long")
     tokens = F.col("n_words") + 1
     base = F.col("log_sum") + F.lit(float(np.log10(ends + 1.0))) - tokens * F.lit(float(np.log10(n + v + 1.0)))
     return summed.select("doc_id", "held_out", tokens.cast("long").alias("n_tokens"), (F.col("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

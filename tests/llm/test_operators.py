@@ -440,6 +440,35 @@ def test_scores_use_all_contexts(spark, rng):
         assert got[i] == pytest.approx(slow_ppm(train, texts[i] or ""), rel=1e-5)
 
 
+@pytest.mark.parametrize("salt_bytes", [1 << 26, 20])
+def test_scores_by_salted_groups_of_blocks(spark, monkeypatch, sample, salt_bytes):
+    """Many small blocks, one bucket or few: the same scores, and those of the automaton of the whole model."""
+    docs = sample.select("doc_id", "text")
+    want = {r.doc_id: r for r in ppm.lm_scores(docs).collect()}
+    monkeypatch.setattr(ppm, "BUCKETS_LEAST", 7)
+    got = {r.doc_id: r for r in ppm.lm_scores(docs.repartition(12), buckets_most=7, salt_bytes=salt_bytes).collect()}
+    assert got.keys() == want.keys() and all(got[i][:5] == w[:5] and got[i].base_score == pytest.approx(w.base_score) and got[i].score == pytest.approx(w.score) for i, w in want.items())
+    texts = docs.collect()
+    model = ppm.train(docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2))
+    assert [want[r.doc_id].score for r in texts] == pytest.approx(model.score([ppm.line_of((r.text or "").encode()) for r in texts]).tolist(), rel=1e-5)
+
+
+def test_long_texts_are_walked_in_parts(spark, monkeypatch, rng):
+    letters = np.frombuffer(b"abcdefgh  \t\n", dtype=np.uint8)
+    texts = [(i, letters[rng.integers(12, size=40_000)].tobytes().decode()) for i in range(9)] + [(9, " " * 9000 + "x" * 70_000)]
+    docs = spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)
+    want = {r.doc_id: (r.n_tokens, r.n_known, pytest.approx(r.base_score), pytest.approx(r.score)) for r in ppm.lm_scores(docs).collect()}
+    monkeypatch.setattr(ppm, "_CHUNK", 999)
+    monkeypatch.setattr(ppm._slices, "__defaults__", (501,))
+    assert {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in ppm.lm_scores(docs).collect()} == want
+
+
+@pytest.mark.parametrize("x", [[], [0, 0], [1, 255, 256, 1 << 40, 2**63]])
+def test_packing_of_integers(x):
+    a, b = ppm._unzip(ppm._zip(np.array(x, dtype=np.uint64), np.arange(len(x) + 2)))
+    assert a.tolist() == x and b.tolist() == list(range(len(x) + 2))
+
+
 # 10 quality
 
 
