@@ -111,6 +111,17 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def slices(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """Parts of about size bytes, cut at white space, so that a very long text is never one list of words."""
+    at = 0
+    while at < len(raw):
+        end = at + size
+        while end < len(raw) and raw[end] not in b" \t\n\x0b\f\r":
+            end += 1
+        yield raw[at:end]
+        at = end
+
+
 def find(df: DataFrame, name: str) -> int | None:
     """Index of the column called name: the exact spelling first, then any case."""
     for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):

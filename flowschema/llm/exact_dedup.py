@@ -68,7 +68,7 @@ def bit_filter(hashes: DataFrame, bits: int) -> DataFrame:
     return at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
 
 
-def _bits(entries: int, most: int = FILTER_MOST) -> int:
+def bits_for(entries: int, most: int = FILTER_MOST) -> int:
     return min(1 << max(15, (entries * FILTER_BITS).bit_length()), most)
 
 
@@ -93,7 +93,7 @@ class DigestIndex:
 
     def _run(self, entries: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         run = materialize(entries.sortWithinPartitions("digest"), "dedup-run")
-        bits = _bits(run.count(), self.filter_most)
+        bits = bits_for(run.count(), self.filter_most)
         return run, bit_filter(run.select(F.xxhash64("digest").alias("hash")), bits), bits
 
     def add(self, docs: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ class DigestIndex:
         hits = index.where("group_size > 1")
         split = hits.where("low <> high").select("digest")
         like = materialize(hits.where("low = high").select(F.col("low").alias("hash"), "digest"), "dedup-hits")
-        bits = _bits(like.count(), self.filter_most)
+        bits = bits_for(like.count(), self.filter_most)
         bitmaps = bit_filter(like, bits)
         norm = normalized(text_or_empty())
         found = None
@@ -197,7 +197,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     names = docs.columns
     docs = carry(docs, "hash", "__id", "__spelling", "__sha")
     marks = materialize(_marked(pick(docs, "doc_id", "text")).where("group_size > 1").select("doc_id", "kept", "sha", "hash", "spelling"), "dedup-marks")
-    bits = _bits(marks.count())
+    bits = bits_for(marks.count())
     bitmaps = bit_filter(marks, bits)
     rows = docs.withColumn("hash", F.xxhash64(normalized(text_or_empty())))
     alone = passing(rows, bitmaps, bits, negate=True).select(*docs.columns)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, empty_like, id_crc, materialize, pick, read, scratch_path
+from .common import LOWER, discard, empty_like, id_crc, materialize, pick, read, scratch_path, slices
 
 ORDER = 6
 END = b"\n"
@@ -53,20 +53,9 @@ def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(LOWER).split()
 
 
-def _slices(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
-    """Parts of about size bytes, cut at white space, so that a very long text is never one list of words."""
-    at = 0
-    while at < len(raw):
-        end = at + size
-        while end < len(raw) and raw[end] not in b" \t\n\x0b\f\r":
-            end += 1
-        yield raw[at:end]
-        at = end
-
-
 def line_of(raw: bytes) -> bytes:
     """The words of a text, joined by single spaces."""
-    return b" ".join(x for x in (b" ".join(words_of(part)) for part in _slices(raw)) if x)
+    return b" ".join(x for x in (b" ".join(words_of(part)) for part in slices(raw)) if x)
 
 
 def _bytes(value: pa.Scalar) -> bytes:
@@ -415,7 +404,7 @@ def _scan(buckets: int):
 
 def _numbers(line: bytes, ids: dict[bytes, int]) -> np.ndarray:
     """The words of a line by number; ids numbers new words."""
-    parts = [np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words)) for words in (x.split() for x in _slices(line))]
+    parts = [np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words)) for words in (x.split() for x in slices(line))]
     return np.concatenate([np.zeros(0, np.int32), *parts])
 
 

@@ -11,6 +11,10 @@ its members go on to tables over the bits that are still free (30, then 14, then
 as fingerprints in it are distinct, three levels bound every bucket by BUCKET. Inside a bucket a breadth-first walk yields
 a spanning forest of the links, so a bucket emits fewer links than members. Components are found on those links.
 
+Groups of near copies (keep_originals, the pipeline's stage) are pairs of similarity 0.8 or more of five-word shingle sets. Fingerprints
+can't find those: at 0.8 they differ in about 10 of 64 bits, far beyond any radius that covering masks can serve. So
+candidates come from prefix filtering, which misses none, and every link is verified on whole sets.
+
 Defined cases: a null text counts as empty; texts without words have fingerprint zero; fewer words than a
 shingle make one shingle; a null identifier is larger than all others; an empty table gives an empty result.
 """
@@ -25,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTES, carry, discard, materialize, pick, read
+from .common import LOWER, WORD_BYTES, carry, discard, materialize, pick, read, slices
+from .exact_dedup import bit_filter, bits_for, passing
 from .graph import components
 
 WORDS = 3
@@ -35,19 +40,32 @@ BUCKET = 1 << 14
 _ALL = (1 << 64) - 1
 
 
+def word_runs(raw: bytes, words: int) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, A-Z lower-cased, in runs that overlap by words - 1: each shingle is in one run."""
+    held: list[bytes] = []
+    whole = False
+    for part in slices(raw):
+        held = held + WORD_BYTES.findall(part.translate(LOWER))
+        if len(held) >= words:
+            yield held
+            whole, held = True, held[len(held) - words + 1 :]
+    if held and not whole:
+        yield held
+
+
 def shingle_hashes(raw: bytes, words: int, seed: int = HASH_SEED) -> np.ndarray:
-    """XXH64 of every shingle of a text in UTF-8, repeats included."""
-    found = WORD_BYTES.findall(raw.translate(LOWER))
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    line = b" ".join(found)
-    digest = xxhash.xxh64_intdigest
-    if len(found) <= words:
-        return np.array([digest(line, seed)], dtype=np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1)
-    starts = np.concatenate([[0], ends[:-words]]).tolist()
-    stops = (ends[words - 1 :] - 1).tolist()
-    return np.array([digest(line[i:j], seed) for i, j in zip(starts, stops)], dtype=np.uint64)
+    """XXH64 of every shingle of a text in UTF-8, repeats included; fewer words are one shingle."""
+    digest, out = xxhash.xxh64_intdigest, [np.zeros(0, dtype=np.uint64)]
+    for found in word_runs(raw, words):
+        line = b" ".join(found)
+        if len(found) <= words:
+            out.append(np.array([digest(line, seed)], dtype=np.uint64))
+            continue
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1)
+        starts = np.concatenate([[0], ends[:-words]]).tolist()
+        stops = (ends[words - 1 :] - 1).tolist()
+        out.append(np.array([digest(line[i:j], seed) for i, j in zip(starts, stops)], dtype=np.uint64))
+    return np.concatenate(out)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -181,10 +199,34 @@ def near_groups(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> D
 
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 _SAMPLE, _FREQUENT = 20_000, 4
+#: Members of a shingle up to which all their pairs are compared; larger groups are first thinned by LEADERS rounds.
+SMALL, LEADERS = 32, 4
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 20:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, HASH_SEED)
+        return h
+
+
+_word_hash = _WordHashes().__getitem__
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: pa.Scalar, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text.as_buffer().to_pybytes() if text.is_valid else b"", words))
+    """64-bit hashes of the set of shingles, sorted: those of the words, mixed in their order."""
+    out = [np.zeros(0, dtype=np.uint64)]
+    for found in word_runs(text.as_buffer().to_pybytes() if text.is_valid else b"", words):
+        k = np.fromiter(map(_word_hash, found), dtype=np.uint64, count=len(found))
+        m = min(words, len(k))
+        h = np.full(len(k) - m + 1, m, dtype=np.uint64)
+        for j in range(m):
+            h = (h ^ k[j : len(k) - m + 1 + j]) * _ODD
+            h ^= h >> np.uint64(32)
+        out.append(h)
+    return np.unique(np.concatenate(out))
 
 
 def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
@@ -195,14 +237,14 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
             h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, words) for t in b.column("text"))]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
 
-    part = docs.where(F.pmod("uid", F.lit(max(1, docs.count() // _SAMPLE))) == 0).select("text")
+    part = docs.where(F.pmod("hash", F.lit(max(1, docs.count() // _SAMPLE))) == 0).select("text")
     found = part.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= _FREQUENT).toArrow()
     h, n = found.column("h").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
     return h[np.lexsort((h, n))]
 
 
 def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """uid, doc_id, digest of the set of shingles, its size n, and its prefix, as a written table.
+    """uid, hash, doc_id, digest of the set of shingles, its size n, and its prefix, as a written table.
 
     Two sets of similarity least or more share a shingle of their first n - ceil(least * n) + 1 in one fixed order of all shingles:
     those not known as frequent by hash, then the frequent ones."""
@@ -223,55 +265,120 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
                 prefix.append(h[np.lexsort((h, late))][:m].view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists], names=["uid", "doc_id", "digest", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("uid", "hash", "doc_id")), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists], names=["uid", "hash", "doc_id", "digest", "n", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.mapInArrow(run, f"uid long, doc_id {kind}, digest binary, n int, prefix array<long>"), "prefixes")
-
-
-def keep_originals(docs: DataFrame, words: int = COPY_WORDS, least: float = COPY_SIMILARITY) -> DataFrame:
+    return materialize(docs.mapInArrow(run, f"uid binary, hash long, doc_id {kind}, digest binary, n int, prefix array<long>"), "prefixes")
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """docs with hash (64 bits, for filters) and uid (128 bits, what a row is known by) of identifier and text."""
+    key = F.concat(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("-")), F.lit("\n"), F.coalesce(F.concat(F.lit("="), F.col("text").cast("string")), F.lit("-")))
+    return docs.withColumn("hash", F.xxhash64(key)).withColumn("uid", F.unhex(F.md5(key)))
+
+
+class _Verifier:
+    """Candidate pairs of classes (a, b) to links: those whose whole sets are alike."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, words: int, least: float):
+        self.texts, self.classes, self.words, self.least = texts, classes, words, least
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        words, least = self.words, self.least
+        pairs = materialize(pairs, "candidates")
+        wanted = self.classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "uid", "hash")
+        wanted = materialize(wanted, "candidate-classes")
+        bits = bits_for(wanted.count())
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([shingle_set(t, words).astype("<u8").tobytes() for t in b.column("text")], pa.binary())], names=["uid", "shingles"])
+
+        # Texts of other documents are kept out by the filter; rows that repeat a candidate meet as one.
+        sets = passing(self.texts.select("uid", "hash", "text"), bit_filter(wanted, bits), bits).select("uid", "text").mapInArrow(whole, "uid binary, shingles binary")
+        sets = sets.join(wanted.select("uid", "cid"), "uid").groupBy("cid").agg(F.first("shingles").alias("shingles"))
+        sets = materialize(sets, "candidate-sets")
+        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
+
+        def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ok = []
+                for x, y in zip(b.column("sa"), b.column("sb")):
+                    x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(common >= least * (len(x) + len(y) - common) - 1e-9)
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        out = materialize(both.select("a", "b", "sa", "sb").mapInArrow(verified, "a long, b long"), "copy-links")
+        discard(pairs, wanted, sets)
+        return out
+
+
+def _pairs(one: DataFrame, two: DataFrame, least: float, more: str = "true") -> DataFrame:
+    """Pairs of members of one shingle whose sizes, and what is left of both sets from that shingle on, allow the similarity."""
+    one, two = (df.select("h", *(F.col(c).alias(c + x) for c in df.columns if c != "h")) for df, x in ((one, "1"), (two, "2")))
+    left = lambda x: F.col(f"n{x}") - F.col(f"at{x}")
+    fits = (F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-6) & (F.least(left("1"), left("2")) >= least / (1 + least) * (F.col("n1") + F.col("n2")) - 1e-6)
+    found = one.join(two, "h").where(fits).where(more)
+    return found.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
+
+
+def copy_links(classes: DataFrame, verifier: _Verifier, least: float, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
+    """Links a, b between classes (cid, n, prefix) that connect what the similarity connects.
+
+    Members of a shingle are compared pair by pair while they are few. In a larger group, round after round one leader
+    is compared with the members that no earlier leader has drawn into its component: a group of copies is thinned by a few pairs
+    each, without all pairs of it. In the end only members of different components are compared."""
+    each = classes.select("cid", "n", F.posexplode("prefix").alias("at", "h"))
+    shared = materialize(each.groupBy("h").count().where("count > 1"), "shared-shingles")
+    members = materialize(each.join(shared, "h").select("h", "cid", "n", "at", "count"), "shingle-members")
+    few = members.where(F.col("count") <= small).drop("count")
+    links = verifier.links(_pairs(few, few, least, "cid1 < cid2"))
+    if members.where(F.col("count") > small).limit(1).count():
+        many = members.where(F.col("count") > small).drop("count")
+        drawn = None  # h, root: components that a leader of the shingle has drawn in
+        for _ in range(leaders):
+            roots = components(links)
+            rooted = materialize(many.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "n", "at", F.coalesce("root", "cid").alias("root")), "rooted-members")
+            still = rooted if drawn is None else rooted.join(drawn.select("h", F.col("lead")).join(rooted.select("h", F.col("cid").alias("lead"), F.col("root").alias("r")), ["h", "lead"]).select("h", F.col("r").alias("root")), ["h", "root"], "left_anti")
+            still = materialize(still.select("h", "cid", "n", "at"), "open-members")
+            first = still.groupBy("h").agg(F.min(F.struct("cid", "n", "at")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "l.*")
+            first = materialize(first, "leaders")
+            if not first.limit(1).count():
+                break
+            links = links.union(verifier.links(_pairs(first, still, least, "cid1 <> cid2")))
+            lead = first.select("h", F.col("cid").alias("lead"))
+            drawn = lead if drawn is None else drawn.union(lead)
+        roots = components(links)
+        rooted = materialize(many.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "n", "at", F.coalesce("root", "cid").alias("root")), "rooted-members")
+        links = links.union(verifier.links(_pairs(rooted, rooted, least, "root1 < root2")))
+    return links
+
+
+def keep_originals(docs: DataFrame, words: int = COPY_WORDS, least: float = COPY_SIMILARITY, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
     """docs with its own columns, one row of each group of near copies (the smallest doc_id, a null last).
 
     Near copies agree in their sets of shingles of words with similarity of at least least. Candidates are all pairs that share
-    a shingle of their prefixes, so none is missed, and each is verified on its whole sets before it becomes a link."""
+    a shingle of their prefixes, so none is missed, and each is verified on its whole sets before it becomes a link. Wholly
+    equal rows are copies too. Rows that are in no group are not shuffled."""
     names = docs.columns
-    docs = carry(docs, "__uid")
-    texts = pick(docs, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", F.col("text").cast("string").alias("text"))
+    docs = carry(docs, "hash", "uid")
+    texts = _identified(pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string")))
     marks = prefixes(texts, words, least)
-    # Equal sets are one class; only its representative is compared.
-    classes = materialize(marks.groupBy("digest").agg(F.min(F.struct("uid", "n", "prefix")).alias("r")).select("digest", "r.*"), "set-classes")
-    inside = marks.select("uid", "digest").join(classes.select("digest", F.col("uid").alias("rep")), "digest").where("uid <> rep").select(F.col("uid").alias("a"), F.col("rep").alias("b"))
-    each = classes.select("uid", "n", F.posexplode("prefix").alias("at", "h"))
-    one, two = (each.select("h", F.col("uid").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("at")).alias(f"r{x}")) for x in "ab")
-    # Sizes, and what is left of both sets from the shared shingle on, must allow the similarity.
-    fits = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-6) & (F.least("ra", "rb") >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6)
-    pairs = materialize(one.join(two, "h").where(F.col("a") < F.col("b")).where(fits).select("a", "b").distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([shingle_set(t, words).astype("<u8").tobytes() for t in b.column("text")], pa.binary())], names=["uid", "shingles"])
-
-    # Repeated rows of one uid count once.
-    sets = texts.join(wanted, "uid", "left_semi").groupBy("uid").agg(F.min("text").alias("text")).mapInArrow(whole, "uid long, shingles binary")
-    sets = materialize(sets, "candidate-sets")
-    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("sb")), "b")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common >= least * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    roots = components(inside.union(both.select("a", "b", "sa", "sb").mapInArrow(verified, "a long, b long")))
-    member = marks.select("uid", "doc_id").distinct().join(roots, F.col("uid") == F.col("node"))
-    first = member.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("best"))
-    gone = materialize(member.join(first, "root").where("uid <> best.uid").select(F.col("uid").alias("__gone")), "near-copies")
-    rows = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    return rows.join(gone, F.col("__uid") == F.col("__gone"), "left_anti").drop("__uid").toDF(*names)
+    # Equal sets are one class; only its representative is compared. Written with its number, which is stable from then on.
+    classes = marks.groupBy("digest").agg(F.min(F.struct("uid", "hash", "n", "prefix")).alias("r")).select(F.monotonically_increasing_id().alias("cid"), "digest", "r.*")
+    classes = materialize(classes, "set-classes")
+    roots = components(copy_links(classes, _Verifier(texts, classes, words, least), least, small, leaders))
+    grouped = marks.select("uid", "hash", "doc_id", "digest").join(classes.select("cid", "digest"), "digest").join(roots, F.col("cid") == F.col("node"), "left")
+    grouped = materialize(grouped.select("uid", "hash", "doc_id", F.coalesce("root", "cid").alias("group")), "copy-groups")
+    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    touched = materialize(grouped.join(first, "group").select("uid", "hash", (F.col("uid") == F.col("best.uid")).alias("stays")).distinct(), "near-copies")
+    bits = bits_for(touched.count())
+    bitmaps = bit_filter(touched, bits)
+    rows = _identified(docs)
+    apart, near = passing(rows, bitmaps, bits, negate=True), passing(rows, bitmaps, bits)
+    near = near.join(touched.where("not stays").select("uid"), "uid", "left_anti").select(*rows.columns).dropDuplicates(["uid"])
+    return apart.unionByName(near).select(*docs.columns).toDF(*names)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,7 +92,7 @@ def test_index_takes_batches(spark, rng, bits):
 
 def test_filters_hold_all_and_few_others(spark):
     held = spark.range(0, 3000).select(F.xxhash64("id").alias("hash"))
-    bits = exact_dedup._bits(3000)
+    bits = exact_dedup.bits_for(3000)
     bitmaps = exact_dedup.bit_filter(held, bits)
     assert exact_dedup.passing(held, bitmaps, bits).count() == 3000 and exact_dedup.passing(held, bitmaps, bits, negate=True).count() == 0
     others = spark.range(5000, 8000).select(F.xxhash64("id").alias("hash"))
@@ -281,8 +281,58 @@ def kept_by_brute_force(texts, least=0.8):
     return {i for i, l in enumerate(label) if i == l}
 
 
-def kept_of(spark, texts):
-    return {r.doc_id for r in simhash.keep_originals(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+def kept_of(spark, texts, **more):
+    return {r.doc_id for r in simhash.keep_originals(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), **more).collect()}
+
+
+@pytest.mark.parametrize("leaders", [0, 1, 3])
+def test_large_groups_of_one_shingle_lose_no_link(spark, rng, leaders):
+    """Chains of copies, copies of several originals and strangers that all share a passage."""
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for g in range(5):
+        base = passage + [f"g{g}w{i}" for i in range(20 + 8 * g)]
+        for k in range(10):
+            texts.append(" ".join(base[: len(base) - k] + [f"g{g}x{i}" for i in range(k)]))
+    texts += [" ".join(passage + [f"s{k}w{i}" for i in range(rng.integers(12, 90))]) for k in range(30)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    assert kept_of(spark, texts, small=3, leaders=leaders) == kept_by_brute_force(texts)
+
+
+def test_near_copies_of_the_sample_are_those_of_brute_force(spark):
+    """Every document of sf0.01: what stays is what all pairs of whole shingle sets say, so recall and precision are 1."""
+    docs = exact_dedup.keep_one(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    docs.sort(key=lambda r: r.doc_id)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in docs)]
+    where = collections.defaultdict(set)
+    for i, s in enumerate(sets):
+        for x in s:
+            where[x].add(i)
+    linked = []
+    for i, s in enumerate(sets):
+        common = collections.Counter(j for x in s for j in where[x])
+        linked.append([j for j, n in common.items() if j != i and n >= 0.8 * (len(s) + len(sets[j]) - n)])
+    label = components_of(len(docs), linked)
+    want = {docs[i].doc_id for i, l in enumerate(label) if i == l}
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in simhash.keep_originals(rows).collect()} == want and 0 < len(docs) - len(want) < 100
+
+
+def test_equal_rows_are_copies_and_identifiers_tell_rows_apart(spark):
+    docs = [(1, "a b c"), (1, "a b c"), (None, "x y"), (None, "x y"), (2, None), (2, None), (3, "a b c d e f g h"), (3, "q r s t u v w")]
+    got = simhash.keep_originals(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(set(docs))
+
+
+def test_shingles_of_long_texts_are_those_of_the_whole(monkeypatch, rng):
+    import pyarrow as pa
+
+    text = " ".join(f"W{x}" for x in rng.integers(500, size=3000)) + "  \t tail"
+    one, two = simhash.shingle_hashes(text.encode(), 3), simhash.shingle_set(pa.scalar(text), 5)
+    monkeypatch.setattr(simhash.slices, "__defaults__", (40,))
+    assert (simhash.shingle_hashes(text.encode(), 3) == one).all() and (simhash.shingle_set(pa.scalar(text), 5) == two).all()
+    words = WORD.findall(text.lower())
+    assert len(two) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) and len(simhash.shingle_hashes(b"a " * 9, 3)) == 7
 
 
 def test_copies_with_added_passages_go(spark, rng):
@@ -459,7 +509,7 @@ def test_long_texts_are_walked_in_parts(spark, monkeypatch, rng):
     docs = spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)
     want = {r.doc_id: (r.n_tokens, r.n_known, pytest.approx(r.base_score), pytest.approx(r.score)) for r in ppm.lm_scores(docs).collect()}
     monkeypatch.setattr(ppm, "_CHUNK", 999)
-    monkeypatch.setattr(ppm._slices, "__defaults__", (501,))
+    monkeypatch.setattr(ppm.slices, "__defaults__", (501,))
     assert {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in ppm.lm_scores(docs).collect()} == want
 
 
