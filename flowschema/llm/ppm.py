@@ -38,7 +38,7 @@ from .common import LOWER, discard, empty_like, id_crc, materialize, pick, read,
 ORDER = 6
 END = b"\n"
 _PAD = b"\0" * (ORDER - 1) + b" "
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 _KNOWN = 2
 _BLOCK_BYTES = 12 << 20
 _BLOCK_ROWS = 60_000
@@ -332,7 +332,7 @@ def _distinct(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for k in _keys(b"".join(_PAD + x + END for x in lines)):
         parts.append(_counted(k))
-        if sum(len(x) for x, _ in parts) > 1 << 22:
+        if sum(len(x) for x, _ in parts) > 1 << 21:
             parts = [_counted(*map(np.concatenate, zip(*parts)))]
     return _counted(*map(np.concatenate, zip(*parts)))
 
@@ -527,20 +527,24 @@ def _returned(buckets: int):
         for b, at in _parts(place[order]):
             count[order[at]] = _unzip(answer[-1 - b])[0]
         log, known = np.log10(count + 1.0), count > 0
-        stream = b"".join(_PAD + x + END for x in lines)
-        every = _distinct(lines)[0]
+        # Each chunk looks its different keys up once, in order; sorted look-ups are the fast ones.
+        chunks = [np.unique(k, return_inverse=True) for k in _keys(b"".join(_PAD + x + END for x in lines))]
+        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in chunks)]))
         place = _bucket(every, buckets)
-        logp = np.zeros(len(every))
+        logp = np.zeros(len(every), dtype=np.float32)
         order = np.argsort(place, kind="stable")
         for b, at in _parts(place[order]):
             logp[order[at]] = _unzip_values(answer[b])
-        score, ends, done = np.zeros(len(lines)), np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1), 0
-        for keys in _keys(stream):
-            value = logp[np.searchsorted(every, keys)]
-            doc = np.searchsorted(ends, np.arange(done, done + len(keys)), side="right")
-            if len(doc):
-                score[doc[0] : doc[-1] + 1] += np.bincount(doc - doc[0], weights=value)
-            done += len(keys)
+        ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)
+        score, done = np.zeros(len(lines)), 0
+        for keys, at in chunks:
+            value = logp[np.searchsorted(every, keys)].astype(np.float64)[at]
+            first, last = np.searchsorted(ends, [done, done + len(at) - 1], side="right")
+            # The documents that the chunk touches, from where each of them begins in it.
+            begin = np.maximum(np.concatenate([[done], ends[first:last]]) - done, 0)
+            if len(at):
+                score[first : last + 1] += np.add.reduceat(value, begin)
+            done += len(at)
         return pa.table({
             "doc_id": pa.array(doc_ids, texts.schema.field("ids").type.value_type), "held_out": pa.array(held, pa.bool_()), "n_words": pa.array(list(map(len, number)), pa.int64()), "score": pa.array(score),
             "log_sum": pa.array([float(log[x].sum()) for x in number], pa.float64()), "known": pa.array([int(known[x].sum()) for x in number], pa.int64()),
