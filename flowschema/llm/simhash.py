@@ -201,6 +201,8 @@ COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 _SAMPLE, _FREQUENT = 20_000, 4
 #: Members of a shingle up to which all their pairs are compared; larger groups are first thinned by LEADERS rounds.
 SMALL, LEADERS = 32, 4
+#: 64-bit words of the bitmap of a set, by which pairs that can't be alike are told before their sets are fetched.
+_BITMAP = 32
 
 
 class _WordHashes(dict):
@@ -244,7 +246,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """uid, hash, doc_id, digest of the set of shingles, its size n, and its prefix, as a written table.
+    """uid, hash, doc_id, digest of the set of shingles, its size n, its prefix, and its bitmap, as a written table.
 
     Two sets of similarity least or more share a shingle of their first n - ceil(least * n) + 1 in one fixed order of all shingles:
     those not known as frequent by hash, then the frequent ones."""
@@ -254,21 +256,25 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
         rank = np.argsort(frequent.value)
         known = frequent.value[rank]
         for b in batches:
-            digest, size, prefix = [], [], []
+            digest, size, prefix, bitmap = [], [], [], []
             for t in b.column("text"):
                 h = shingle_set(t, words)
                 digest.append(xxhash.xxh128_digest(h.astype("<u8").tobytes()))
                 size.append(len(h))
+                bits = np.zeros(64 * _BITMAP, dtype=np.uint8)
+                bits[(h >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
+                bitmap.append(np.packbits(bits, bitorder="little").view("<i8"))
                 m = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 late = np.where(known[at] == h, rank[at] + 1, 0) if len(known) else np.zeros(len(h), np.int64)
                 prefix.append(h[np.lexsort((h, late))][:m].view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("uid", "hash", "doc_id")), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists], names=["uid", "hash", "doc_id", "digest", "n", "prefix"])
+            bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(len(bitmap) + 1, dtype=np.int32) * _BITMAP), pa.array(np.concatenate([np.zeros(0, np.int64), *bitmap])))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("uid", "hash", "doc_id")), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists, bitmaps], names=["uid", "hash", "doc_id", "digest", "n", "prefix", "bitmap"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.mapInArrow(run, f"uid binary, hash long, doc_id {kind}, digest binary, n int, prefix array<long>"), "prefixes")
+    return materialize(docs.mapInArrow(run, f"uid binary, hash long, doc_id {kind}, digest binary, n int, prefix array<long>, bitmap array<long>"), "prefixes")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -285,34 +291,34 @@ class _Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         words, least = self.words, self.least
-        pairs = materialize(pairs, "candidates")
+        pairs = materialize(self._hopeful(pairs), "candidates")
         wanted = self.classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "uid", "hash")
         wanted = materialize(wanted, "candidate-classes")
         bits = bits_for(wanted.count())
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([shingle_set(t, words).astype("<u8").tobytes() for t in b.column("text")], pa.binary())], names=["uid", "shingles"])
+                sets = pa.array([shingle_set(t, words).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("uid"), sets], names=["uid", "shingles"])
 
         # Texts of other documents are kept out by the filter; rows that repeat a candidate meet as one.
-        sets = passing(self.texts.select("uid", "hash", "text"), bit_filter(wanted, bits), bits).select("uid", "text").mapInArrow(whole, "uid binary, shingles binary")
+        sets = passing(self.texts.select("uid", "hash", "text"), bit_filter(wanted, bits), bits).select("uid", "text").mapInArrow(whole, "uid binary, shingles array<long>")
         sets = sets.join(wanted.select("uid", "cid"), "uid").groupBy("cid").agg(F.first("shingles").alias("shingles"))
         sets = materialize(sets, "candidate-sets")
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")
-
-        def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ok = []
-                for x, y in zip(b.column("sa"), b.column("sb")):
-                    x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(common >= least * (len(x) + len(y) - common) - 1e-9)
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-        out = materialize(both.select("a", "b", "sa", "sb").mapInArrow(verified, "a long, b long"), "copy-links")
+        common = F.size(F.array_intersect("sa", "sb"))
+        out = materialize(both.where(common * (1 + least) >= least * (F.size("sa") + F.size("sb")) - 1e-9).select("a", "b"), "copy-links")
         discard(pairs, wanted, sets)
         return out
 
+    def _hopeful(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose bitmaps allow the similarity: every bit that differs stands for a shingle of one set alone."""
+        marks = self.classes.select("cid", "n", "bitmap")
+        both = pairs.join(marks.toDF("a", "na", "ba"), "a").join(marks.toDF("b", "nb", "bb"), "b")
+        apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        most = (F.col("na") + F.col("nb")) * (1 - 2 * self.least / (1 + self.least))
+        return both.where(apart <= most + 1e-6).select("a", "b")
+
 
 def _pairs(one: DataFrame, two: DataFrame, least: float, more: str = "true") -> DataFrame:
     """Pairs of members of one shingle whose sizes, and what is left of both sets from that shingle on, allow the similarity."""
@@ -334,7 +340,9 @@ def copy_links(classes: DataFrame, verifier: _Verifier, least: float, small: int
     members = materialize(each.join(shared, "h").select("h", "cid", "n", "at", "count"), "shingle-members")
     few = members.where(F.col("count") <= small).drop("count")
     links = verifier.links(_pairs(few, few, least, "cid1 < cid2"))
-    if members.where(F.col("count") > small).limit(1).count():
+    if not members.where(F.col("count") > small).limit(1).count():
+        discard(shared, members)
+    else:
         many = members.where(F.col("count") > small).drop("count")
         drawn = None  # h, root: components that a leader of the shingle has drawn in
         for _ in range(leaders):
@@ -366,13 +374,16 @@ def keep_originals(docs: DataFrame, words: int = COPY_WORDS, least: float = COPY
     texts = _identified(pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string")))
     marks = prefixes(texts, words, least)
     # Equal sets are one class; only its representative is compared. Written with its number, which is stable from then on.
-    classes = marks.groupBy("digest").agg(F.min(F.struct("uid", "hash", "n", "prefix")).alias("r")).select(F.monotonically_increasing_id().alias("cid"), "digest", "r.*")
+    classes = marks.groupBy("digest").agg(F.min(F.struct("uid", "hash", "n", "prefix", "bitmap")).alias("r")).select(F.monotonically_increasing_id().alias("cid"), "digest", "r.*")
     classes = materialize(classes, "set-classes")
+    rows_of = materialize(marks.select("uid", "hash", "doc_id", "digest").join(classes.select("cid", "digest"), "digest").drop("digest"), "class-rows")
+    discard(marks)
     roots = components(copy_links(classes, _Verifier(texts, classes, words, least), least, small, leaders))
-    grouped = marks.select("uid", "hash", "doc_id", "digest").join(classes.select("cid", "digest"), "digest").join(roots, F.col("cid") == F.col("node"), "left")
+    grouped = rows_of.join(roots, F.col("cid") == F.col("node"), "left")
     grouped = materialize(grouped.select("uid", "hash", "doc_id", F.coalesce("root", "cid").alias("group")), "copy-groups")
     first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     touched = materialize(grouped.join(first, "group").select("uid", "hash", (F.col("uid") == F.col("best.uid")).alias("stays")).distinct(), "near-copies")
+    discard(classes, rows_of, grouped)
     bits = bits_for(touched.count())
     bitmaps = bit_filter(touched, bits)
     rows = _identified(docs)
