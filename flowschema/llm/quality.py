@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, carry, id_crc, materialize, pick, read
+from .common import WORD_BYTES, carry, discard, id_crc, materialize, pick, read
+from .exact_dedup import bit_filter, bits_for, passing
 
 FEATURES = 256  # random Fourier features
 WIDTH = 4.0  # of the Gaussian kernel, in standard deviations
@@ -84,10 +85,9 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of its whole text, as a written table."""
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return materialize(rows.mapInArrow(_measure, f"doc_id {kind}, stats array<double>"), "quality-stats")
+    """The columns of docs but the text, and the statistics of the whole text, as a written table."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return materialize(docs.mapInArrow(_measure, f"{kinds}, stats array<double>"), "quality-stats")
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -223,20 +223,30 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, cut: floa
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """docs with its own columns, without the rows that the classifier rejects: what a pipeline stage keeps.
 
-    The texts are measured where they are read, so no text is shuffled: the model is fitted first, then applied row by row."""
+    A score depends on the text alone, so rejected texts are known by 128 bits of hash. Rows whose hash a filter of those doesn't hold
+    stay where they are; only the others are shuffled."""
     names = docs.columns
-    docs = carry(docs, "__keep")
-    stats = measured(pick(docs, "doc_id", "text"))
+    docs = carry(docs, "hash", "more")
+    hashes = {"hash": F.xxhash64("text"), "more": F.xxhash64(F.lit(SEED), "text")}
+    stats = measured(pick(docs, "doc_id", "text").withColumns(hashes))
     marks = training_labels(labels)
     train = stats.where(F.pmod(id_crc(), F.lit(5)) != 0).join(marks, F.col("doc_id") == F.col("label_id")).select("stats", "label")
-    model = fit(materialize(train, "quality-train"))
+    train = materialize(train, "quality-train")
+    model = fit(train)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t.as_py()) for t in b.column("text")]).reshape(-1, N_STATS)
-            yield b.filter(pa.array(model.score(x) >= cut)) if len(b) else b
-
-    return docs.mapInArrow(keep, docs.schema).toDF(*names)
+            if len(b):
+                yield b.select(["hash", "more"]).filter(pa.array(model.score(_matrix(b, "stats")) < cut))
+
+    rejected = materialize(stats.select("hash", "more", "stats").mapInArrow(reject, "hash long, more long").distinct(), "quality-rejected")
+    discard(train, stats)
+    bits = bits_for(rejected.count())
+    bitmaps = bit_filter(rejected, bits)
+    rows = docs.withColumns(hashes)
+    sure, other = passing(rows, bitmaps, bits, negate=True), passing(rows, bitmaps, bits)
+    other = other.join(rejected, ["hash", "more"], "left_anti").select(*rows.columns)
+    return sure.unionByName(other).select(*docs.columns).toDF(*names)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -536,6 +536,41 @@ def test_quality(tricky, sample, spark):
     assert {r.score for r in quality.quality_scores(tricky, labels.limit(0)).collect()} == {0.5}
 
 
+def test_ridge_and_features_by_a_direct_solution(spark, rng):
+    """Sums by partition give what one matrix of all rows gives; scores follow the curve of the training rows."""
+    x = rng.normal(size=(300, quality.N_STATS)) * 3 + 1
+    y = (x[:, 0] + rng.normal(size=300) > 1).astype(float)
+    rows = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(x, y)], "stats array<double>, label double").repartition(7)
+    model = quality.fit(rows)
+    mean, scale = x.mean(0), x.std(0)
+    draw = np.random.default_rng(quality.SEED)
+    w, phase = draw.normal(size=(quality.N_STATS, quality.FEATURES)) / quality.WIDTH, draw.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.hstack([np.ones((300, 1)), np.cos(np.clip((x - mean) / scale, -8, 8) @ w + phase) * np.sqrt(2 / quality.FEATURES)])
+    penalty = np.diag([1e-9] + [quality.RIDGE * 300 / quality.FEATURES] * quality.FEATURES)
+    coef = np.linalg.solve(z.T @ z + penalty, z.T @ y)
+    assert model.raw(x) == pytest.approx(z @ coef, abs=1e-6)
+    order = np.argsort(z @ coef)
+    score = model.score(x)[order]
+    assert (np.diff(score) >= -1e-12).all() and score.mean() == pytest.approx(y.mean(), abs=0.02)
+
+
+def test_features_approximate_the_kernel(rng):
+    model = quality.Model(n_stats=5, features=20_000)
+    x = rng.normal(size=(6, 5))
+    z = model.lift(x)[:, 1:]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * quality.WIDTH**2))
+    assert z @ z.T == pytest.approx(kernel, abs=0.03)
+
+
+def test_the_stage_keeps_what_the_scores_say(spark, tricky):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(spark.createDataFrame([(None, "|| ## $$ " * 30, None, None, None), (None, None, None, None, None), (5, "|| ## $$ " * 30, "x", "y", 1)], docs.schema))
+    want = collections.Counter(r.doc_id for r in quality.quality_scores(docs, labels).where("score >= 0.3").collect())
+    got = quality.keep_good(docs, labels)
+    assert got.columns == docs.columns and collections.Counter(r.doc_id for r in got.collect()) == want and 0 < sum(want.values()) < docs.count()
+
+
 def test_isotonic():
     w, v = np.array([1, 1, 0, 2, 1.0]), np.array([1, 0, 0, 1, 1.0])
     assert quality.isotonic(w, v) == pytest.approx([0.5, 0.5, 0.5, 0.5, 1.0])
