@@ -22,13 +22,14 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], ne
     one = left.select(*(F.col(a).alias(k) for k, (a, _) in zip(key_names, keys)), F.col(l_at).alias("at"), F.lit(0 if strict else 1).alias("side"), row(left).alias("l"), ok(l_at, [a for a, _ in keys]).alias("fits"))
     two = right.where(ok(r_at, [b for _, b in keys]))
     two = two.select(*(F.col(b).alias(k) for k, (_, b) in zip(key_names, keys)), F.col(r_at).alias("at"), F.lit(1 if strict else 0).alias("side"), row(right).alias("r"), F.lit(True).alias("fits"))
-    both = one.unionByName(two, allowMissingColumns=True)
+    # Left rows that match nothing keep out of the shuffle: a null key is no group of its own.
+    alone = one.where(~F.col("fits")).select("l", F.lit(None).cast(two.schema["r"].dataType).alias("found"))
+    both = one.where("fits").unionByName(two, allowMissingColumns=True)
     at = F.col("at").asc() if back else F.col("at").desc()
-    order = Window.partitionBy(*key_names, "fits").orderBy(at, "side", F.col("r").asc_nulls_first())
+    order = Window.partitionBy(*key_names).orderBy(at, "side", F.col("r").asc_nulls_first())
     found = F.last("r", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = both.withColumn("found", F.when(F.col("fits"), found)).where(F.col("l").isNotNull())
-    if not outer:
-        out = out.where(F.col("found").isNotNull())
+    out = both.withColumn("found", found).where(F.col("l").isNotNull()).select("l", "found")
+    out = out.union(alone) if outer else out.where(F.col("found").isNotNull())
     return out.select(F.col("l").alias(names[0]), F.col("found").alias(names[1]))
 
 

@@ -75,20 +75,46 @@ QUERIES: dict[str, tuple[str, str, str | None]] = {
     "sql_from_first": ("spark", "FROM orders SELECT o_orderkey WHERE o_orderstatus = 'P'", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'"),
     "sql_higher_order": ("spark", "SELECT vec_id, size(filter(embedding, x -> x > 0)) AS pos, exists(embedding, x -> x > 0.3) AS big FROM embeddings", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS pos, len(list_filter(embedding, lambda x: x > 0.3)) > 0 AS big FROM embeddings"),
     "sql_json": ("spark", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events"),
-    "sql_tablesample_bucket": ("spark", "SELECT count(*) > 0 AS some FROM orders TABLESAMPLE (BUCKET 1 OUT OF 4 ON o_orderkey)", "SELECT true AS some"),
+    "sql_tablesample_bucket": ("spark", " UNION ALL ".join(f"SELECT o_orderkey FROM orders TABLESAMPLE (BUCKET {i} OUT OF 4 ON o_orderkey)" for i in (1, 2, 3, 4)), "SELECT o_orderkey FROM orders"),
+    "sql_tablesample_share": ("spark", "SELECT b.n / a.n BETWEEN 0.2 AND 0.3 AS quarter, b.n = c.n AS repeatable FROM (SELECT count(*) AS n FROM orders) a, (SELECT count(*) AS n FROM orders TABLESAMPLE (BUCKET 2 OUT OF 4 ON o_orderkey)) b, (SELECT count(*) AS n FROM orders TABLESAMPLE (BUCKET 2 OUT OF 4 ON o_orderkey)) c", "SELECT true AS quarter, true AS repeatable"),
+    "sql_tablesample_rows": ("spark", "SELECT (SELECT count(*) FROM orders TABLESAMPLE (70 ROWS)) AS n, (SELECT count(*) FROM orders TABLESAMPLE (100 PERCENT)) AS every, (SELECT count(*) FROM orders TABLESAMPLE (50 PERCENT)) BETWEEN 0.4 * (SELECT count(*) FROM orders) AND 0.6 * (SELECT count(*) FROM orders) AS half", "SELECT 70::BIGINT AS n, count(*) AS every, true AS half FROM orders"),
+    "sql_is_truth": ("spark", "SELECT count_if(nullif(o_orderstatus, 'F') IS NULL) AS a, count_if(nullif(o_orderstatus, 'F') IS NOT NULL) AS b, count_if((o_totalprice > 100000) IS TRUE) AS c, count_if((o_totalprice > 100000) IS NOT TRUE) AS d, count_if((nullif(o_orderstatus, 'F') = 'O') IS FALSE) AS e, count_if((nullif(o_orderstatus, 'F') = 'O') IS NOT FALSE) AS f FROM orders", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS a, count(*) FILTER (WHERE o_orderstatus <> 'F') AS b, count(*) FILTER (WHERE o_totalprice > 100000) AS c, count(*) FILTER (WHERE NOT o_totalprice > 100000) AS d, count(*) FILTER (WHERE o_orderstatus = 'P') AS e, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS f FROM orders"),
+    "sql_like_all": ("spark", "SELECT p_partkey FROM part WHERE p_type LIKE ALL ('%A%', '%E%') AND p_name NOT LIKE ALL ('%z%', '%q%')", "SELECT p_partkey FROM part WHERE p_type LIKE '%A%' AND p_type LIKE '%E%' AND p_name NOT LIKE '%z%' AND p_name NOT LIKE '%q%'"),
+    "sql_multi_alias": ("spark", "SELECT inline(array(named_struct('a', n_nationkey, 'b', n_name), named_struct('a', n_regionkey, 'b', 'region'))) AS (k, v) FROM nation", "SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT n_regionkey, 'region' FROM nation"),
+    "sql_empty_group": ("spark", "SELECT count(*) AS n, max(o_orderkey) AS m FROM orders GROUP BY ()", "SELECT count(*) AS n, max(o_orderkey) AS m FROM orders"),
+    "sql_pivot_many": ("spark", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_totalprice, o_orderkey FROM orders) PIVOT (count(o_orderkey) AS n, max(o_totalprice) AS top FOR o_orderstatus IN ('F' AS f, 'O' AS o))", "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS f_n, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS f_top, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS o_n, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS o_top FROM orders GROUP BY o_orderpriority"),
+    "sql_cluster_by": ("spark", "SELECT o_orderkey, o_custkey FROM orders CLUSTER BY o_custkey", "SELECT o_orderkey, o_custkey FROM orders"),
+    "sql_hint": ("spark", "SELECT /*+ SHUFFLE_HASH(n) */ s_suppkey, n_name FROM supplier JOIN nation n ON s_nationkey = n_nationkey", "SELECT s_suppkey, n_name FROM supplier JOIN nation n ON s_nationkey = n_nationkey"),
+    "sql_lateral_second": ("spark", "SELECT n_name, r_name, x FROM nation JOIN region ON n_regionkey = r_regionkey LATERAL VIEW explode(array(n_nationkey, r_regionkey * 100)) t AS x", "SELECT n_name, r_name, n_nationkey AS x FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, r_name, r_regionkey * 100 FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "sql_bits": ("spark", "SELECT o_orderkey, o_orderkey ^ 21 AS x, ~o_orderkey AS inv FROM orders", "SELECT o_orderkey, xor(o_orderkey, 21) AS x, ~o_orderkey AS inv FROM orders"),
+    "sql_cast_nested": ("spark", "SELECT n_nationkey, CAST(array(n_nationkey, n_regionkey) AS ARRAY<STRING>)[1] AS second, CAST(struct(n_name, n_nationkey) AS STRUCT<a: STRING, b: BIGINT>).b AS b, CAST(map(n_name, n_nationkey) AS MAP<STRING, STRING>)[n_name] AS m FROM nation", "SELECT n_nationkey, n_regionkey::VARCHAR AS second, n_nationkey::BIGINT AS b, n_nationkey::VARCHAR AS m FROM nation"),
+    "sql_maps": ("spark", "SELECT n_name, size(map_filter(map('a', n_nationkey, 'b', n_regionkey), (k, v) -> v > 2)) AS big, map_keys(map(n_name, 1))[0] AS k, element_at(transform_values(map('x', n_nationkey), (k, v) -> v * 2), 'x') AS twice FROM nation", "SELECT n_name, (n_nationkey > 2)::INT + (n_regionkey > 2)::INT AS big, n_name AS k, n_nationkey * 2 AS twice FROM nation"),
+    "sql_window_shares": ("spark", "SELECT o_orderkey, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice)", "SELECT o_orderkey, round(percent_rank() OVER w, 9) AS p, round(cume_dist() OVER w, 9) AS c, nth_value(o_orderkey, 2) OVER w AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice)"),
+    "sql_extract_units": ("spark", "SELECT event_id, EXTRACT(QUARTER FROM ts) AS q, EXTRACT(WEEK FROM ts) AS w, EXTRACT(DAY FROM ts) AS d, EXTRACT(DOW FROM ts) AS dow, EXTRACT(HOUR FROM ts) AS h, EXTRACT(MINUTE FROM ts) AS mi, CAST(EXTRACT(SECOND FROM ts) AS INT) AS s FROM events", "SELECT event_id, quarter(ts)::INT AS q, weekofyear(ts)::INT AS w, day(ts)::INT AS d, dayofweek(ts)::INT + 1 AS dow, hour(ts)::INT AS h, minute(ts)::INT AS mi, floor(second(ts))::INT AS s FROM events"),
+    "sql_escapes_comments": ("spark", "SELECT 'it''s' AS a, \"dq\" AS b, 'tab\\tend' AS c, 1.5e1 AS d, 12L AS e, 0.25BD AS f -- a comment; with a semicolon\nFROM region /* and another */ WHERE r_regionkey = 0;", "SELECT 'it''s' AS a, 'dq' AS b, 'tab' || chr(9) || 'end' AS c, 15.0::DOUBLE AS d, 12::BIGINT AS e, 0.25::DECIMAL(2, 2) AS f FROM region WHERE r_regionkey = 0"),
+    "ch_any_right": ("clickhouse", "SELECT o.o_orderkey, c.c_custkey FROM orders AS o ANY RIGHT JOIN customer AS c ON o.o_custkey = c.c_custkey", "SELECT o_orderkey, c_custkey FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey"),
+    "ch_any_full": ("clickhouse", "SELECT c.c_custkey, s.s_suppkey FROM customer AS c ANY FULL JOIN supplier AS s ON c.c_custkey = s.s_suppkey", "SELECT c_custkey, s_suppkey FROM customer FULL JOIN (SELECT min(s_suppkey) AS s_suppkey FROM supplier GROUP BY supplier.s_suppkey) ON c_custkey = s_suppkey"),
+    "ch_rollup_totals": ("clickhouse", "SELECT l_returnflag, l_linestatus, count() AS n FROM lineitem GROUP BY l_returnflag, l_linestatus WITH ROLLUP WITH TOTALS", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus) UNION ALL SELECT NULL, NULL, count(*) FROM lineitem"),
+    "ch_cube_totals": ("clickhouse", "SELECT l_returnflag, l_linestatus, count() AS n FROM lineitem GROUP BY CUBE(l_returnflag, l_linestatus) WITH TOTALS", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus) UNION ALL SELECT NULL, NULL, count(*) FROM lineitem"),
+    "ch_tuple_access": ("clickhouse", "SELECT n_nationkey, (n_name, n_regionkey).2 AS b, t.1 AS a FROM (SELECT n_nationkey, n_name, n_regionkey, tuple(n_name, n_regionkey) AS t FROM nation)", "SELECT n_nationkey, n_regionkey AS b, n_name AS a FROM nation"),
+    "ch_windows": ("clickhouse", "SELECT o_orderkey, count() OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two, CAST(row_number() OVER w AS Int64) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey DESC)", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders"),
+    "ch_interval_starts": ("clickhouse", "SELECT event_id, CAST(toStartOfInterval(ts, INTERVAL 15 MINUTE) AS STRING) AS q, arraySum([1, 2, 3]) AS whole, arraySum([0.5, 1.5]) AS parts FROM events", "SELECT event_id, strftime(time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS q, 6::BIGINT AS whole, 2.0::DOUBLE AS parts FROM events"),
+    "ch_sketches": ("clickhouse", "SELECT abs(uniq(o_custkey) / uniqExact(o_custkey) - 1) < 0.15 AS a, abs(uniqHLL12(o_orderkey) / count() - 1) < 0.15 AS b, abs(quantile(0.5)(o_totalprice) / quantileExact(0.5)(o_totalprice) - 1) < 0.02 AS q FROM orders", "SELECT true AS a, true AS b, true AS q"),
+    "ch_ties_offset": ("clickhouse", "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority, o_orderstatus LIMIT 50 WITH TIES", "SELECT o_orderkey, o_orderpriority FROM orders QUALIFY rank() OVER (ORDER BY o_orderpriority, o_orderstatus) <= 50"),
     "ch_limit_by": ("clickhouse", "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2 BY o_custkey", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"),
     "ch_limit_by_offset": ("clickhouse", "SELECT o_custkey, o_orderkey FROM orders ORDER BY o_orderkey LIMIT 2 OFFSET 1 BY o_custkey", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) BETWEEN 2 AND 3"),
     "ch_with_ties": ("clickhouse", "SELECT l_orderkey, l_quantity FROM lineitem ORDER BY l_quantity DESC LIMIT 10 WITH TIES", "SELECT l_orderkey, l_quantity FROM lineitem QUALIFY rank() OVER (ORDER BY l_quantity DESC) <= 10"),
     "ch_top_ties": ("clickhouse", "SELECT TOP 5 WITH TIES l_orderkey, l_tax FROM lineitem ORDER BY l_tax", "SELECT l_orderkey, l_tax FROM lineitem QUALIFY rank() OVER (ORDER BY l_tax) <= 5"),
     "ch_with_totals": ("clickhouse", "SELECT o_orderstatus, count() AS n FROM orders GROUP BY o_orderstatus WITH TOTALS", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), ())"),
-    "ch_array_join": ("clickhouse", "SELECT vec_id, x, i FROM embeddings ARRAY JOIN embedding AS x, range(length([1, 2])) AS i WHERE i IS NOT NULL", "SELECT vec_id, embedding[i + 1] AS x, i FROM embeddings, (VALUES (0), (1)) t(i)"),
+    "ch_array_join": ("clickhouse", "SELECT vec_id, x, i FROM embeddings ARRAY JOIN embedding AS x, range(64) AS i", "SELECT vec_id, unnest(embedding) AS x, unnest(range(64))::INT AS i FROM embeddings"),
     "ch_left_array_join": ("clickhouse", "SELECT n_name, x FROM nation LEFT ARRAY JOIN arrayFilter(v -> v > 20, [n_nationkey]) AS x", "SELECT n_name, CASE WHEN n_nationkey > 20 THEN n_nationkey END AS x FROM nation"),
     "ch_any_join": ("clickhouse", "SELECT c.c_custkey, o.o_orderkey FROM customer AS c ANY LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders) AS o ON c.c_custkey = o.o_custkey", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey"),
     "ch_semi_left": ("clickhouse", "SELECT c_custkey FROM customer SEMI LEFT JOIN orders ON c_custkey = o_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON c_custkey = o_custkey"),
     "ch_right_anti": ("clickhouse", "SELECT c_custkey FROM orders RIGHT ANTI JOIN customer ON c_custkey = o_custkey", "SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey"),
     "ch_global_join": ("clickhouse", "SELECT n_name, r_name FROM nation GLOBAL ALL INNER JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "ch_asof_join": ("clickhouse", "SELECT a.event_id AS id, b.event_id AS before FROM (SELECT * FROM events WHERE event_type = 'purchase') AS a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') AS b ON a.user_id = b.user_id AND a.ts >= b.ts", "SELECT a.event_id AS id, b.event_id AS before FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') b ON a.user_id = b.user_id AND a.ts >= b.ts"),
-    "ch_sample": ("clickhouse", "SELECT count() BETWEEN 1 AND 1000000000 AS some FROM lineitem SAMPLE 1 / 10 OFFSET 1 / 2", "SELECT true AS some"),
+    "ch_sample": ("clickhouse", " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber FROM lineitem SAMPLE 1 / 4 OFFSET {i} / 4" for i in range(4)), "SELECT l_orderkey, l_linenumber FROM lineitem"),
+    "ch_sample_share": ("clickhouse", "SELECT b.n / a.n BETWEEN 0.08 AND 0.12 AS tenth, c.n = b.n AS repeatable FROM (SELECT count() AS n FROM lineitem) AS a, (SELECT count() AS n FROM lineitem SAMPLE 1 / 10 OFFSET 1 / 2) AS b, (SELECT count() AS n FROM lineitem SAMPLE 1 / 10 OFFSET 1 / 2) AS c", "SELECT true AS tenth, true AS repeatable"),
     "ch_final": ("clickhouse", "SELECT user_id, event_id, ts FROM events FINAL", "SELECT user_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"),
     "ch_prewhere": ("clickhouse", "SELECT count() AS n FROM lineitem PREWHERE l_quantity > 30 WHERE l_discount = 0.05 OR l_tax = 0.02", "SELECT count(*) AS n FROM lineitem WHERE l_quantity > 30 AND (l_discount = 0.05 OR l_tax = 0.02)"),
     "ch_ternary": ("clickhouse", "SELECT o_orderkey, o_totalprice > 100000 ? 'big' : 'small' AS size FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS size FROM orders"),

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -28,6 +30,9 @@ class Writer:
         o = self.options
         if o.get("columns"):
             df = df.select(*o["columns"])
+        if self.kind == "parquet" and o.get("no_uint"):
+            # Unsigned columns as the next signed type; 64 bits that are decimals here become bigint, and too great a value is an error.
+            df = df.select(*(F.col(f"`{f.name}`").cast("bigint").alias(f.name) if f.dataType == S.DecimalType(20, 0) else F.col(f"`{f.name}`") for f in df.schema))
         if self.kind == "csv":
             for f in df.schema:
                 if isinstance(f.dataType, (S.FloatType, S.DoubleType)) and o.get("float_format"):
@@ -45,40 +50,79 @@ class Writer:
                 df = df.join(starts, "__p").select((F.col("__s") + F.col("__m") - F.shiftleft(F.col("__p").cast("long"), 33)).alias("index"), *names)
         return df
 
+    def known(self) -> dict[str, Any]:
+        """The options by the names of Spark's writers."""
+        own = ("columns", "index", "float_format", "document", "no_uint", "protocol", "rows", "if_exists")
+        names = {"csv": _CSV, "parquet": _PARQUET}.get(self.kind, {})
+        out = {names.get(k, k): v for k, v in self.options.items() if k not in own}
+        if self.kind == "csv":
+            out.setdefault("header", True)
+        if self.kind == "parquet" and out.get("parquet.writer.version"):
+            out["parquet.writer.version"] = "v1" if str(out["parquet.writer.version"]).startswith("1") else "v2"
+        return out
+
     def write(self, df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+        """Write to path. pickle: a file of one pickled list of records per partition; json with document: one array per partition, a file each."""
         df, o = self.prepared(df), self.options
         if self.kind == "print":
             df.show(o.get("rows", 20), False)
-        elif self.kind == "pickle":
-            protocol = o.get("protocol", pickle.HIGHEST_PROTOCOL)
-
-            def dump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    yield pa.RecordBatch.from_pydict({"rows": pa.array([pickle.dumps(b.to_pylist(), protocol)], pa.binary())})
-
-            df.mapInArrow(dump, "rows binary").write.mode(mode).parquet(path)
+        elif self.kind == "pickle" or self.kind == "json" and o.get("document"):
+            self._files(df, path, mode)
         elif self.kind == "jdbc":
             df.write.format("jdbc").options(**{k: v for k, v in o.items() if k not in ("columns",)}).option("dbtable", path).mode({"append": "append", "replace": "overwrite", "fail": "errorifexists"}.get(o.get("if_exists", "append"))).save()
         elif self.kind == "table":
             df.write.mode(mode).saveAsTable(path)
         else:
-            names = {"csv": _CSV, "parquet": _PARQUET}.get(self.kind, {})
-            known = {names.get(k, k): v for k, v in o.items() if k not in ("columns", "index", "float_format", "document", "no_uint")}
-            if self.kind == "csv":
-                known.setdefault("header", True)
-            if self.kind == "parquet" and known.get("parquet.writer.version"):
-                known["parquet.writer.version"] = "v1" if str(known["parquet.writer.version"]).startswith("1") else "v2"
-            df.write.format(self.kind).options(**known).mode(mode).save(path)
+            df.write.format(self.kind).options(**self.known()).mode(mode).save(path)
+
+    def _files(self, df: DataFrame, path: str, mode: str) -> None:
+        """Whole files that Spark has no writer for: each task writes its own under the file system of path, tasks that are run again write it again."""
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(folder):
+            if mode == "errorifexists":
+                raise FileExistsError(path)
+            if mode == "overwrite":
+                fs.delete(folder, True)
+        fs.mkdirs(folder)
+        kind, protocol, names = self.kind, self.options.get("protocol", pickle.HIGHEST_PROTOCOL), df.columns
+        if kind == "json":
+            df = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+
+        def dump(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, done = TaskContext.get().partitionId(), 0
+            target, place = pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
+            name = f"{place}/part-{part:05d}.{'json' if kind == 'json' else 'pickle'}"
+            with target.open_output_stream(name) as out:
+                if kind == "json":
+                    out.write(b"[")
+                records: list[dict] = []
+                for b in batches:
+                    if kind == "json":
+                        text = ",\n".join(b.column("line").to_pylist()).encode()
+                        out.write((b",\n" if done and text else b"") + text)
+                    else:
+                        records += b.to_pylist()
+                    done += len(b)
+                out.write(b"]" if kind == "json" else pickle.dumps([{n: r[n] for n in names} for r in records], protocol))
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([done], pa.int64())})
+
+        df.mapInArrow(dump, "rows long").agg(F.sum("rows")).collect()
 
 
 def write_shards(df: DataFrame, writer: Writer, path: str, shards: int = 1, base: str = "data", part_names: bool = False) -> list[str]:
     """df in equal shards, each a folder base_00000-of-00003 or part-00000. A shard is one file of one task, so size shards to memory."""
+    if writer.kind in ("print", "jdbc", "table"):
+        raise ValueError(f"{writer.kind} has no files to shard")
     names = [f"part-{i:05d}" if part_names else f"{base}_{i:05d}-of-{shards:05d}" for i in range(shards)]
     if shards == 1:
         writer.write(df.coalesce(1), f"{path}/{names[0]}", "overwrite")
         return names
-    name = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("__shard") + 1)
-    rows = df.repartition(shards).withColumn("__shard", F.spark_partition_id()).withColumn("shard", name).drop("__shard")
-    options = {k: v for k, v in writer.options.items() if k not in ("columns", "index", "float_format")}
-    Writer(writer.kind, writer.options).prepared(rows).write.format(writer.kind).options(**options).partitionBy("shard").mode("overwrite").save(path)
+    rows = writer.prepared(df).repartition(shards)
+    if writer.kind == "pickle" or writer.kind == "json" and writer.options.get("document"):
+        Writer(writer.kind, {k: v for k, v in writer.options.items() if k not in ("columns", "index")})._files(rows, path, "overwrite")
+        return [f"part-{i:05d}.{writer.kind}" for i in range(shards)]
+    name = F.element_at(F.array(*(F.lit(n) for n in names)), F.spark_partition_id() + 1)
+    rows.withColumn("shard", name).write.format(writer.kind).options(**writer.known()).partitionBy("shard").mode("overwrite").save(path)
     return names

@@ -51,7 +51,22 @@ def _sum(printer, call) -> str:
     a = printer(call.args[-1])
     if len(call.args) == 2:
         a = f"transform({a}, {printer(call.args[0])})"
-    return f"aggregate({a}, 0D, (__a, __x) -> __a + __x)"
+    # The sum begins with a zero of the elements' type; whole numbers add up as 64 bits.
+    return f"aggregate({a}, coalesce(try_element_at(filter({a}, __x -> false), 1), 0L), (__a, __x) -> __a + __x)"
+
+
+_MICROS = {"SECOND": 10**6, "MINUTE": 60 * 10**6, "HOUR": 3600 * 10**6, "DAY": 86400 * 10**6, "WEEK": 7 * 86400 * 10**6}
+
+
+def _start_of_interval(printer, call) -> str:
+    x, text = printer(call.args[0]), printer(call.args[1])
+    m = re.fullmatch(r"INTERVAL '?(\d+)'? (SECOND|MINUTE|HOUR|DAY|WEEK)S?", text.strip("()"), re.I)
+    if not m:
+        raise SqlError(f"toStartOfInterval takes intervals of seconds to weeks, not {text}")
+    step = int(m[1]) * _MICROS[m[2].upper()]
+    shift = 3 * 86400 * 10**6 if m[2].upper() == "WEEK" else 0  # weeks begin on Monday; the epoch was a Thursday
+    at = f"unix_micros(CAST({x} AS TIMESTAMP))"
+    return f"timestamp_micros({at} - pmod({at} + {shift}, {step}))"
 
 
 CLICKHOUSE = {
@@ -59,7 +74,7 @@ CLICKHOUSE = {
     "todayofweek": _as("weekday({0}) + 1"), "tohour": _as("hour({0})"), "tominute": _as("minute({0})"), "tosecond": _as("second({0})"), "toquarter": _as("quarter({0})"),
     "toyyyymm": _as("(year({0}) * 100 + month({0}))"), "toyyyymmdd": _as("(year({0}) * 10000 + month({0}) * 100 + day({0}))"), "tostartofyear": _as("CAST(date_trunc('YEAR', {0}) AS DATE)"),
     "tostartofquarter": _as("CAST(date_trunc('QUARTER', {0}) AS DATE)"), "tostartofmonth": _as("CAST(date_trunc('MONTH', {0}) AS DATE)"), "tomonday": _as("CAST(date_trunc('WEEK', {0}) AS DATE)"),
-    "tostartofhour": _as("date_trunc('HOUR', {0})"), "tostartofminute": _as("date_trunc('MINUTE', {0})"), "tostartofday": _as("date_trunc('DAY', {0})"), "now": _as("current_timestamp()"), "today": _as("current_date()"),
+    "tostartofinterval": _start_of_interval, "tostartofhour": _as("date_trunc('HOUR', {0})"), "tostartofminute": _as("date_trunc('MINUTE', {0})"), "tostartofday": _as("date_trunc('DAY', {0})"), "now": _as("current_timestamp()"), "today": _as("current_date()"),
     "datediff": lambda p, c: f"timestampdiff({p(c.args[0]).strip(chr(39)).upper()}, {p(c.args[1])}, {p(c.args[2])})", "adddays": _as("date_add({0}, {1})"), "tostring": _as("CAST({0} AS STRING)"),
     "toint8": _as("CAST({0} AS TINYINT)"), "toint16": _as("CAST({0} AS SMALLINT)"), "toint32": _as("CAST({0} AS INT)"), "toint64": _as("CAST({0} AS BIGINT)"), "touint8": _as("CAST({0} AS SMALLINT)"),
     "touint16": _as("CAST({0} AS INT)"), "touint32": _as("CAST({0} AS BIGINT)"), "touint64": _as("CAST({0} AS DECIMAL(20,0))"), "tofloat32": _as("CAST({0} AS FLOAT)"), "tofloat64": _as("CAST({0} AS DOUBLE)"),
@@ -70,7 +85,7 @@ CLICKHOUSE = {
     "multiif": _multi_if, "ifnull": _as("coalesce({0}, {1})"), "isnull": _as("({0} IS NULL)"), "isnotnull": _as("({0} IS NOT NULL)"), "intdiv": _as("({0} DIV {1})"), "modulo": _as("({0} % {1})"),
     "arraymap": _map, "arrayfilter": _as("filter({1}, {0})"), "arrayexists": _as("exists({1}, {0})"), "arrayall": _as("forall({1}, {0})"), "arraysort": _sort, "arraysum": _sum, "arrayjoin": _as("explode({0})"), "has": _as("array_contains({0}, {1})"),
     "arraydistinct": _as("array_distinct({0})"), "arrayconcat": _as("concat({*})"), "arrayreverse": _as("reverse({0})"), "arrayelement": _as("try_element_at({0}, {1})"), "arraymax": _as("array_max({0})"), "arraymin": _as("array_min({0})"),
-    "range": _as("sequence(0, {0} - 1)"), "tuple": _as("struct({*})"), "grouparray": _as("collect_list({0})"), "groupuniqarray": _as("collect_set({0})"), "uniq": _as("approx_count_distinct({0})"), "uniqexact": _as("count(DISTINCT {*})"),
+    "range": _as("sequence(0, {0} - 1)"), "tuple": lambda p, c: "named_struct(" + ", ".join(f"'col{i}', {p(a)}" for i, a in enumerate(c.args, 1)) + ")", "grouparray": _as("collect_list({0})"), "groupuniqarray": _as("collect_set({0})"), "uniq": _as("approx_count_distinct({0})"), "uniqexact": _as("count(DISTINCT {*})"),
     "uniqcombined": _as("approx_count_distinct({0})"), "uniqhll12": _as("approx_count_distinct({0})"), "argmin": _as("min_by({0}, {1})"), "argmax": _as("max_by({0}, {1})"), "any": _as("first({0}, true)"), "anylast": _as("last({0}, true)"),
     "countif": _as("count_if({0})"), "sumif": _as("sum({0}) FILTER (WHERE {1})"), "avgif": _as("avg({0}) FILTER (WHERE {1})"), "minif": _as("min({0}) FILTER (WHERE {1})"), "maxif": _as("max({0}) FILTER (WHERE {1})"),
     "quantile": _as("percentile_approx({0}, {p})"), "quantileexact": _as("percentile({0}, {p})"), "quantiles": _as("percentile_approx({0}, array({p}))"), "median": _as("percentile({0}, 0.5)"), "topk": _as("approx_top_k({0}, {p})"),

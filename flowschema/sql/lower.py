@@ -4,11 +4,13 @@ The result is Spark SQL text, so that the optimizer sees one declarative plan. M
 
 * LIMIT n BY k: the first n rows of each k, in the order of ORDER BY (of all columns if there is none).
 * LIMIT n WITH TIES, TOP n WITH TIES: also the rows that equal the n-th in ORDER BY.
-* WITH TOTALS: one more row with null keys over all rows (before HAVING).
+* WITH TOTALS: one more row with null keys over all rows (before HAVING), also beside ROLLUP and CUBE.
+* MATERIALIZED VIEW v TO t AS q: t is filled with the rows of q. SETTINGS and a FORMAT without a file have no meaning here: a warning says so.
 * ARRAY JOIN a, b: one row per element, arrays in lockstep; LEFT keeps rows of empty arrays.
 * ANY JOIN: at most one match per row (the least right row of a key). SEMI and ANTI in either word order.
 * ASOF JOIN: equal keys, and of the rows that meet the inequality the nearest.
-* SAMPLE r OFFSET o: rows whose hash lies in [o, o + r) of the unit interval. FINAL: the last version of each key.
+* SAMPLE r OFFSET o: rows whose hash lies in [o, o + r) of the unit interval. FINAL: the last version of each key (of equal versions the
+  greatest row).
 * PREWHERE: a conjunct of WHERE. GLOBAL and LOCAL: distribution hints, without a meaning of their own here.
 * Nulls are last in ORDER BY unless it says otherwise. Arrays count from 1.
 """
@@ -16,6 +18,7 @@ The result is Spark SQL text, so that the optimizer sees one declarative plan. M
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,7 +108,13 @@ class SparkPrinter(Printer):
     def p_Index(self, n):
         return f"try_element_at({self(n.x)}, {self(n.at)})" if self.clickhouse else super().p_Index(n)
 
+    def p_Lit(self, n):
+        text = super().p_Lit(n)
+        return text + "D" if self.clickhouse and re.fullmatch(r"\d*\.\d+", text) else text  # ClickHouse reads 0.5 as a float
+
     def p_Field(self, n):
+        if n.name.isdigit() and isinstance(n.x, A.Tuple) and 0 < int(n.name) <= len(n.x.items):
+            return self(n.x.items[int(n.name) - 1])
         return f"{self(n.x)}.col{n.name}" if n.name.isdigit() else super().p_Field(n)
 
     def p_Cast(self, n):
@@ -138,8 +147,9 @@ class SparkPrinter(Printer):
             k = self.keys.get(short)
             if not k or not k.order_by:
                 raise SqlError(f"FINAL needs the key columns of {short}")
-            order = f"{k.version} DESC NULLS LAST, " if k.version else ""
-            text = f"(SELECT * EXCEPT (__n) FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(k.order_by)} ORDER BY {order}struct(*)) AS __n FROM {text}) WHERE __n = 1)"
+            # An aggregate, so that each task keeps one row of a key before anything is shuffled. A null version is the least.
+            best = f"max(struct({k.version} AS v, struct(*) AS r))" if k.version else "max(struct(struct(*) AS r))"
+            text = f"(SELECT __best.r.* FROM (SELECT {best} AS __best FROM {text} GROUP BY {', '.join(k.order_by)}))"
         if n.sample:
             k = self.keys.get(short)
             by = (k.sample_by if k else None) or "*"
@@ -223,8 +233,7 @@ class SparkPrinter(Printer):
                 n, side = replace(n, left=n.right, right=n.left), "LEFT"
                 right = n.right
             keys, alias = ", ".join(self.right_keys(replace(n, right=right))), _name_of(right)
-            ranked = f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY struct(*)) AS __n FROM {self(right)}"
-            text = f"(SELECT * EXCEPT (__n) FROM ({ranked}) WHERE __n = 1) AS {alias or self.fresh('any')}"
+            text = f"(SELECT __row.* FROM (SELECT min(struct(*)) AS __row FROM {self(right)} GROUP BY {keys})) AS {alias or self.fresh('any')}"
         else:
             text = self(right)
         out = f"{self(n.left)} {side} {kind + ' ' if kind else ''}JOIN {text}"
@@ -261,6 +270,8 @@ class SparkPrinter(Printer):
     # Queries
 
     def p_Group(self, n):
+        if len(n.items) == 1 and isinstance(n.items[0], A.Tuple) and not n.items[0].items and n.sets is None:
+            return ""  # GROUP BY (): one group of all rows
         items = self.many(n.items)
         if n.sets is not None:  # with the sets named, ROLLUP adds nothing
             sets = [f"({self.many(s)})" for s in n.sets]
@@ -270,6 +281,11 @@ class SparkPrinter(Printer):
         kind = n.function or next((m for m in n.modifiers if m != "TOTALS"), "")
         if "TOTALS" in n.modifiers and not kind:
             return f"GROUP BY GROUPING SETS (({items}), ())"
+        if "TOTALS" in n.modifiers:
+            # The totals are a row of their own, beside the one that ROLLUP and CUBE have for all rows.
+            one = [self(x) for x in n.items]
+            sets = [one[:k] for k in range(len(one), -1, -1)] if kind.upper() == "ROLLUP" else [[x for i, x in enumerate(one) if bits >> i & 1] for bits in range(1 << len(one))]
+            return f"GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(s) + ')' for s in [*sets, []])})"
         return f"GROUP BY {kind} ({items})" if kind else f"GROUP BY {items}"
 
     def p_Select(self, n):
@@ -335,6 +351,11 @@ class SparkPrinter(Printer):
             if not order:
                 raise SqlError("WITH TIES needs ORDER BY")
             skip = self(limit.offset) if limit.offset is not None else "0"
+            if hidden and n.order:
+                # Rows as good as the first skip + count are those that share their sort keys: a top-k and a semi join leave few to rank.
+                by = [h.alias for h in hidden[: len(n.order)]]
+                first = f"SELECT DISTINCT {', '.join(f'{c} AS {c}t' for c in by)} FROM (SELECT {', '.join(by)} FROM ({body}) {order} LIMIT {skip} + {self(limit.count)})"
+                body = f"SELECT __all.* FROM ({body}) AS __all LEFT SEMI JOIN ({first}) AS __top ON {' AND '.join(f'{c} <=> {c}t' for c in by)}"
             ranked = f"SELECT *, rank() OVER ({order}) AS __r, row_number() OVER ({order}) AS __n FROM ({body})"
             body, limit = f"SELECT * EXCEPT ({', '.join(['__r', '__n', *gone])}) FROM ({ranked}) WHERE __n > {skip} AND __r <= {skip} + {self(limit.count)}", None
         parts = [*head, body, order]
@@ -353,6 +374,10 @@ class SparkPrinter(Printer):
 
     def p_Create(self, n):
         kind = n.kind
+        if n.to and n.query is not None:
+            return f"INSERT INTO {'.'.join(n.to)} {self(n.query)}"
+        if not self.clickhouse and n.clauses:
+            n = _stored(n)
         if n.query is not None and kind in ("MATERIALIZED VIEW", "LIVE VIEW"):
             kind = "TABLE" if kind == "MATERIALIZED VIEW" else "TEMPORARY VIEW"
         if self.clickhouse:
@@ -365,6 +390,25 @@ class SparkPrinter(Printer):
         return super().p_Drop(replace(n, kind="TABLE" if n.kind == "MATERIALIZED VIEW" else n.kind))
 
 
+_STORED = {"textfile": "csv", "jsonfile": "json", "sequencefile": "parquet", "rcfile": "orc"}
+
+
+def _stored(n: A.Create) -> A.Create:
+    """STORED AS, ROW FORMAT and SKEWED BY of Hive as a Spark data source; the other clauses stay."""
+    clauses, options, form = n.clauses, dict(n.options), n.format
+    clauses = re.sub(r"\bSKEWED BY \([^)]*\) ON \((?:[^()]|\([^)]*\))*\)( STORED AS DIRECTORIES)?", "", clauses, flags=re.I)
+    if m := re.search(r"\bSTORED AS (INPUTFORMAT '([^']*)' OUTPUTFORMAT '[^']*'|\w+)", clauses, re.I):
+        word = (m[2] or m[1]).lower()
+        form = form or next((f for f in ("parquet", "orc", "avro", "json") if f in word), _STORED.get(word, word))
+        clauses = clauses.replace(m[0], "")
+    if m := re.search(r"\bROW FORMAT DELIMITED((?: (?:FIELDS|LINES|COLLECTION ITEMS|MAP KEYS) TERMINATED BY '[^']*'| ESCAPED BY '[^']*'| NULL DEFINED AS '[^']*')*)", clauses, re.I):
+        for pattern, name in ((r"FIELDS TERMINATED BY ('[^']*')", "sep"), (r"LINES TERMINATED BY ('[^']*')", "lineSep"), (r"NULL DEFINED AS ('[^']*')", "nullValue")):
+            if x := re.search(pattern, m[1], re.I):
+                options[name] = x[1]
+        form, clauses = form or "csv", clauses.replace(m[0], "")
+    return replace(n, clauses=" ".join(clauses.split()), options=options, format=form)
+
+
 def _name_of(relation) -> str | None:
     return getattr(relation, "alias", None) or (relation.name[-1] if isinstance(relation, A.Table) else None)
 
@@ -398,6 +442,10 @@ def run(spark: SparkSession, text: str, dialect: str = "spark", variables: dict[
 
     out = None
     for statement in parse(text, dialect):
+        if isinstance(statement, A.Query):
+            unused = [w for w, there in (("SETTINGS", getattr(statement, "settings", None)), ("FORMAT", statement.format and not statement.outfile)) if there]
+            if unused:
+                warnings.warn(f"{' and '.join(unused)} without effect here", stacklevel=2)
         sql = SparkPrinter(dialect, variables, keys, relation)(statement)
         out = spark.sql(sql)
         if isinstance(statement, A.Query) and statement.outfile:

@@ -1,6 +1,8 @@
 """Quality, synthetic tables, joins, lineage, sinks, streams, entry points."""
 
 import datetime
+import json
+import pickle
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,7 +125,21 @@ def test_sinks(spark, tmp_path):
     Writer("parquet", {"compression": "zstd", "use_dictionary": False}).write(df, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
     Writer("pickle").write(df, str(tmp_path / "k"))
-    assert spark.read.parquet(str(tmp_path / "k")).count() >= 1
+    read = lambda folder: [r for p in sorted((tmp_path / folder).glob("*.pickle")) for r in pickle.loads(p.read_bytes())]
+    assert sorted(read("k"), key=lambda r: r["i"]) == [{"i": 1, "f": 2.5, "l": [1]}, {"i": 2, "f": None, "l": []}]
+    with pytest.raises(FileExistsError):
+        Writer("pickle").write(df, str(tmp_path / "k"))
+    Writer("json", {"document": True}).write(df.coalesce(1), str(tmp_path / "d"))
+    assert json.loads((tmp_path / "d" / "part-00000.json").read_text()) == [{"i": 1, "f": 2.5, "l": [1]}, {"i": 2, "f": None, "l": []}]
+    Writer("json", {"document": True}).write(df.limit(0).coalesce(1), str(tmp_path / "e"))
+    wide = df.select(F.col("i").cast("decimal(20,0)").alias("u"))
+    Writer("parquet", {"no_uint": True}).write(wide, str(tmp_path / "u"))
+    assert spark.read.parquet(str(tmp_path / "u")).dtypes == [("u", "bigint")]
+    write_shards(df, Writer("csv", {"na_rep": "NULL"}), str(tmp_path / "w"), 2)
+    lines = [x for p in (tmp_path / "w").rglob("*.csv") for x in p.read_text().splitlines()]
+    assert lines.count("i,f,l") == 2 and sum(x.startswith("2,NULL,") for x in lines) == 1
+    with pytest.raises(ValueError):
+        write_shards(df, Writer("print"), str(tmp_path / "x"), 2)
     assert write_shards(spark.range(100), Writer("json"), str(tmp_path / "s"), 3) == [f"data_{i:05d}-of-00003" for i in range(3)]
     assert spark.read.json(str(tmp_path / "s")).count() == 100
 

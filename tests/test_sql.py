@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from flowschema.sql import SqlError, parse, parse_one, to_sql
 from flowschema.sql import ast as A
-from flowschema.sql.lower import Keys, to_spark_sql
+from flowschema.sql.lower import run, Keys, to_spark_sql
 from flowschema.sql.parser import parse_with_text
 
 BOTH = [
@@ -98,7 +98,7 @@ def test_lowering():
     assert to_spark_sql("SELECT a FROM t LIMIT 10, 20") == "SELECT a FROM t LIMIT 20 OFFSET 10"
     assert to_spark_sql("SELECT a FROM t PREWHERE x WHERE y OR z", "clickhouse") == "SELECT a FROM t WHERE (x) AND (y OR z)"
     assert to_spark_sql("SELECT a FROM ${db}.t", variables={"db": "d"}) == "SELECT a FROM d.t"
-    assert "PARTITION BY k ORDER BY v DESC" in to_spark_sql("SELECT a FROM t FINAL", "clickhouse", keys={"t": Keys(["k"], "v")})
+    assert "max(struct(v AS v, struct(*) AS r)) AS __best FROM t GROUP BY k" in to_spark_sql("SELECT a FROM t FINAL", "clickhouse", keys={"t": Keys(["k"], "v")})
     for bad in ("SELECT a FROM t FINAL", "SELECT a FROM t LIMIT 2 WITH TIES"):
         with pytest.raises(SqlError):
             to_spark_sql(bad, "clickhouse")
@@ -109,5 +109,31 @@ def test_lowering():
 def test_clickhouse_is_not_read_as_aliases(spark):
     """Spark's own parser would take ANY and FINAL for table aliases; the lowering must not let that happen."""
     out = to_spark_sql("SELECT a FROM t ANY LEFT JOIN s USING (k)", "clickhouse")
-    assert "ANY" not in out and "row_number()" in out
+    assert "ANY" not in out and "min(struct(*))" in out and "GROUP BY k" in out
     spark._jsparkSession.sessionState().sqlParser().parsePlan(out)
+
+
+def test_totals_beside_rollup_and_cube():
+    assert to_spark_sql("SELECT a, b, count() FROM t GROUP BY a, b WITH ROLLUP WITH TOTALS", "clickhouse").endswith("GROUP BY GROUPING SETS ((a, b), (a), (), ())")
+    assert to_spark_sql("SELECT a, count() FROM t GROUP BY CUBE(a) WITH TOTALS", "clickhouse").endswith("GROUP BY GROUPING SETS ((), (a), ())")
+
+
+def test_storage_clauses():
+    text = to_spark_sql("CREATE TABLE t (a INT) PARTITIONED BY (p STRING) CLUSTERED BY (a) SORTED BY (a) INTO 4 BUCKETS SKEWED BY (a) ON ((1), (2)) STORED AS DIRECTORIES STORED AS ORC")
+    assert "USING orc" in text and "CLUSTERED BY (a) SORTED BY (a) INTO 4 BUCKETS" in text and "SKEWED" not in text and "STORED" not in text
+    text = to_spark_sql("CREATE TABLE t (a INT) ROW FORMAT DELIMITED FIELDS TERMINATED BY ',' NULL DEFINED AS 'x' STORED AS TEXTFILE AS SELECT 1 AS a")
+    assert "USING csv" in text and "sep ','" in text and "nullValue 'x'" in text and text.endswith("AS SELECT 1 AS a")
+    assert "USING parquet" in to_spark_sql("CREATE TABLE t (a INT) STORED AS INPUTFORMAT 'x.ParquetIn' OUTPUTFORMAT 'x.ParquetOut'")
+
+
+def test_materialized_view_fills_its_target():
+    assert to_spark_sql("CREATE MATERIALIZED VIEW v TO t AS SELECT 1 AS a", "clickhouse") == "INSERT INTO t SELECT 1 AS a"
+
+
+def test_tuples_and_floats_of_clickhouse():
+    assert to_spark_sql("SELECT (a, b).2, t.1, 0.5 FROM t", "clickhouse") == "SELECT b, t.col1, 0.5D FROM t"
+
+
+def test_settings_and_format_are_said_to_have_no_effect(spark):
+    with pytest.warns(UserWarning, match="SETTINGS and FORMAT"):
+        assert run(spark, "SELECT 1 AS a SETTINGS max_threads = 1 FORMAT JSON", "clickhouse").count() == 1
