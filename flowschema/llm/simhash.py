@@ -198,7 +198,8 @@ def near_groups(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> D
 
 
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
-_SAMPLE, _FREQUENT = 20_000, 4
+#: Shingles that occur _FREQUENT times in the sampled share of the documents (one of _RATE, all of a small table) come last in every prefix; _LAST at most.
+_SAMPLE, _RATE, _FREQUENT, _LAST = 20_000, 2, 3, 1 << 21
 #: Members of a shingle up to which all their pairs are compared; larger groups are first thinned by LEADERS rounds.
 SMALL, LEADERS = 32, 4
 #: 64-bit words of the bitmap of a set, by which pairs that can't be alike are told before their sets are fetched.
@@ -231,16 +232,26 @@ def shingle_set(text: pa.Scalar, words: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes that are frequent in a sample, the rarest first. They only decide the order in which prefixes are taken, not the result."""
+def frequent_shingles(docs: DataFrame, words: int, last: int = _LAST) -> np.ndarray:
+    """Hashes that are frequent in a share of the documents, the rarest first. They only decide the order in which prefixes are taken, not the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, words) for t in b.column("text"))]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
-
-    part = docs.where(F.pmod("hash", F.lit(max(1, docs.count() // _SAMPLE))) == 0).select("text")
-    found = part.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= _FREQUENT).toArrow()
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    rate = max(1, min(_RATE, docs.count() // _SAMPLE))
+    counts = docs.where(F.pmod("hash", F.lit(rate)) == 0).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.where(F.col("n") >= _FREQUENT), "frequent-shingles")
+    # The least count such that no more than last hashes reach it; counts beyond 1000 are one class here.
+    above, least = 0, _FREQUENT
+    for r in counts.groupBy(F.least("n", F.lit(1000)).alias("c")).count().orderBy(F.desc("c")).collect():
+        if above + r["count"] > last:
+            least = r.c + 1
+            break
+        above += r["count"]
+    found = counts.where(F.col("n") >= least).toArrow() if above else counts.limit(0).toArrow()
+    discard(counts)
     h, n = found.column("h").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy()
     return h[np.lexsort((h, n))]
 
