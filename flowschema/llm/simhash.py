@@ -11,9 +11,10 @@ its members go on to tables over the bits that are still free (30, then 14, then
 as fingerprints in it are distinct, three levels bound every bucket by BUCKET. Inside a bucket a breadth-first walk yields
 a spanning forest of the links, so a bucket emits fewer links than members. Components are found on those links.
 
-Groups of near copies (keep_originals, the pipeline's stage) are pairs of similarity 0.8 or more of five-word shingle sets. Fingerprints
-can't find those: at 0.8 they differ in about 10 of 64 bits, far beyond any radius that covering masks can serve. So
-candidates come from prefix filtering, which misses none, and every link is verified on whole sets.
+Groups of near copies (keep_originals, the pipeline's stage) are pairs of similarity 0.8 or more of five-word shingle sets. Sets whose
+fingerprints lie within the radius are found first, by the covering tables, and verified on whole sets. At 0.8 fingerprints
+differ in about 10 of 64 bits, far beyond any radius that covering masks can serve. So prefix filtering, which misses
+none, finds the rest: sets that share a shingle of their prefixes and that fingerprints have not brought together.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero; fewer words than a
 shingle make one shingle; a null identifier is larger than all others; an empty table gives an empty result.
@@ -257,7 +258,7 @@ def frequent_shingles(docs: DataFrame, words: int, last: int = _LAST) -> np.ndar
 
 
 def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """uid, hash, doc_id, digest of the set of shingles, its size n, its prefix, and its bitmap, as a written table.
+    """uid, hash, doc_id, digest of the set of shingles, its size n, its prefix, its bitmap, and its fingerprint, as a written table.
 
     Two sets of similarity least or more share a shingle of their first n - ceil(least * n) + 1 in one fixed order of all shingles:
     those not known as frequent by hash, then the frequent ones."""
@@ -267,11 +268,12 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
         rank = np.argsort(frequent.value)
         known = frequent.value[rank]
         for b in batches:
-            digest, size, prefix, bitmap = [], [], [], []
+            digest, size, prefix, bitmap, fp = [], [], [], [], []
             for t in b.column("text"):
                 h = shingle_set(t, words)
                 digest.append(xxhash.xxh128_digest(h.astype("<u8").tobytes()))
                 size.append(len(h))
+                fp.append(signed(fingerprint(h)))
                 bits = np.zeros(64 * _BITMAP, dtype=np.uint8)
                 bits[(h >> np.uint64(40)).astype(np.int64) % len(bits)] = 1
                 bitmap.append(np.packbits(bits, bitorder="little").view("<i8"))
@@ -282,10 +284,10 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
             bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(len(bitmap) + 1, dtype=np.int32) * _BITMAP), pa.array(np.concatenate([np.zeros(0, np.int64), *bitmap])))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("uid", "hash", "doc_id")), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists, bitmaps], names=["uid", "hash", "doc_id", "digest", "n", "prefix", "bitmap"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("uid", "hash", "doc_id")), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists, bitmaps, pa.array(fp, pa.int64())], names=["uid", "hash", "doc_id", "digest", "n", "prefix", "bitmap", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.mapInArrow(run, f"uid binary, hash long, doc_id {kind}, digest binary, n int, prefix array<long>, bitmap array<long>"), "prefixes")
+    return materialize(docs.mapInArrow(run, f"uid binary, hash long, doc_id {kind}, digest binary, n int, prefix array<long>, bitmap array<long>, fp long"), "prefixes")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -340,21 +342,35 @@ def _pairs(one: DataFrame, two: DataFrame, least: float, more: str = "true") ->
     return found.select(F.least("cid1", "cid2").alias("a"), F.greatest("cid1", "cid2").alias("b")).distinct()
 
 
+def fingerprint_links(classes: DataFrame, verifier: _Verifier, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """Links a, b between classes (cid, fp) among those whose fingerprints are equal or linked by near_links().
+
+    Candidates span what lies within radius, so a link may be missing where one of them is not verified; copy_links() finds it."""
+    nodes = materialize(classes.groupBy("fp").agg(F.min("cid").alias("cid")), "fingerprints")
+    same = classes.select("fp", F.col("cid").alias("b")).join(nodes.select("fp", F.col("cid").alias("a")), "fp").where("a < b").select("a", "b")
+    near = near_links(nodes.select(F.lit(0).alias("tag"), "fp"), radius, bucket).select("a", "b")
+    near = near.join(nodes.toDF("a", "one"), "a").join(nodes.toDF("b", "two"), "b").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
+    links = verifier.links(same.union(near).distinct())
+    discard(nodes)
+    return links
+
+
 def copy_links(classes: DataFrame, verifier: _Verifier, least: float, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
-    """Links a, b between classes (cid, n, prefix) that connect what the similarity connects.
+    """Links a, b between classes (cid, n, prefix, fp) that connect what the similarity connects.
 
-    Members of a shingle are compared pair by pair while they are few. In a larger group, round after round one leader
+    Fingerprints link what they can; from then on only members of different components are compared. Members of a shingle are compared pair by pair while they are few. In a larger group, round after round one leader
     is compared with the members that no earlier leader has drawn into its component: a group of copies is thinned by a few pairs
     each, without all pairs of it. In the end only members of different components are compared."""
-    each = classes.select("cid", "n", F.posexplode("prefix").alias("at", "h"))
+    near = fingerprint_links(classes, verifier)
+    each = classes.join(components(near), F.col("cid") == F.col("node"), "left").select("cid", "n", F.coalesce("root", "cid").alias("near"), F.posexplode("prefix").alias("at", "h"))
     shared = materialize(each.groupBy("h").count().where("count > 1"), "shared-shingles")
-    members = materialize(each.join(shared, "h").select("h", "cid", "n", "at", "count"), "shingle-members")
+    members = materialize(each.join(shared, "h").select("h", "cid", "n", "at", "near", "count"), "shingle-members")
     few = members.where(F.col("count") <= small).drop("count")
-    links = verifier.links(_pairs(few, few, least, "cid1 < cid2"))
+    links = near.union(verifier.links(_pairs(few, few, least, "near1 < near2")))
     if not members.where(F.col("count") > small).limit(1).count():
         discard(shared, members)
     else:
-        many = members.where(F.col("count") > small).drop("count")
+        many = members.where(F.col("count") > small).drop("count", "near")
         drawn = None  # h, root: components that a leader of the shingle has drawn in
         for _ in range(leaders):
             roots = components(links)
@@ -377,15 +393,15 @@ def copy_links(classes: DataFrame, verifier: _Verifier, least: float, small: int
 def keep_originals(docs: DataFrame, words: int = COPY_WORDS, least: float = COPY_SIMILARITY, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
     """docs with its own columns, one row of each group of near copies (the smallest doc_id, a null last).
 
-    Near copies agree in their sets of shingles of words with similarity of at least least. Candidates are all pairs that share
-    a shingle of their prefixes, so none is missed, and each is verified on its whole sets before it becomes a link. Wholly
+    Near copies agree in their sets of shingles of words with similarity of at least least. Candidates are sets with near
+    fingerprints, then all pairs of the rest that share a shingle of their prefixes, so none is missed; each is verified on its whole sets before it becomes a link. Wholly
     equal rows are copies too. Rows that are in no group are not shuffled."""
     names = docs.columns
     docs = carry(docs, "hash", "uid")
     texts = _identified(pick(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string")))
     marks = prefixes(texts, words, least)
     # Equal sets are one class; only its representative is compared. Written with its number, which is stable from then on.
-    classes = marks.groupBy("digest").agg(F.min(F.struct("uid", "hash", "n", "prefix", "bitmap")).alias("r")).select(F.monotonically_increasing_id().alias("cid"), "digest", "r.*")
+    classes = marks.groupBy("digest").agg(F.min(F.struct("uid", "hash", "n", "prefix", "bitmap", "fp")).alias("r")).select(F.monotonically_increasing_id().alias("cid"), "digest", "r.*")
     classes = materialize(classes, "set-classes")
     rows_of = materialize(marks.select("uid", "hash", "doc_id", "digest").join(classes.select("cid", "digest"), "digest").drop("digest"), "class-rows")
     discard(marks)

@@ -318,6 +318,28 @@ def test_near_copies_of_the_sample_are_those_of_brute_force(spark):
     assert {r.doc_id for r in simhash.keep_originals(rows).collect()} == want and 0 < len(docs) - len(want) < 100
 
 
+def test_fingerprints_link_copies_and_prefixes_the_rest(spark, rng, monkeypatch):
+    texts = []
+    for size in (1500, 2000, 80):
+        base = [f"w{i}" for i in rng.integers(3000, size=size)]
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join(base + [f"v{i}" for i in range(size // 6)])]
+    texts += [" ".join(f"w{i}" for i in rng.integers(3000, size=60)) for _ in range(6)]
+    want, whole, pairs, seen = kept_by_brute_force(texts), simhash._pairs, simhash.near_links, []
+
+    def spy(one, two, least, more="true"):
+        seen.append(whole(one, two, least, more).count())
+        return whole(one, two, least, more)
+
+    monkeypatch.setattr(simhash, "_pairs", spy)
+    assert kept_of(spark, texts) == want and len(want) == 9 and seen[0] < 9  # all three of a group are pairs without fingerprints
+    # Fingerprints alone find what is nearly equal; candidates that are not alike never become links.
+    monkeypatch.setattr(simhash, "_pairs", lambda one, two, least, more="true": whole(one, two, least, "false"))
+    alone = kept_of(spark, texts)
+    assert want < alone and not {1, 4} & alone
+    monkeypatch.setattr(simhash, "near_links", lambda fps, *_: pairs(fps).select("a", "b").union(fps.select(F.col("fp").alias("a")).crossJoin(fps.select(F.col("fp").alias("b")))))
+    assert kept_of(spark, texts) == want
+
+
 def test_equal_rows_are_copies_and_identifiers_tell_rows_apart(spark):
     docs = [(1, "a b c"), (1, "a b c"), (None, "x y"), (None, "x y"), (2, None), (2, None), (3, "a b c d e f g h"), (3, "q r s t u v w")]
     got = simhash.keep_originals(spark.createDataFrame(docs, "doc_id int, text string")).collect()
