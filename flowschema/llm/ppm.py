@@ -371,7 +371,10 @@ def _scan(buckets: int):
                 mine = order[at]
                 yield rows("ask", 1, block=pa.array([block]), bucket=pa.array([-1 - b], pa.int32()), data=pa.array([_zip_words([names[i] for i in mine], n_train[mine])], pa.binary()))
             (k1, t1), (k2, t2) = (_distinct([x[2] for x in held if x[1] == out]) for out in (False, True))
+            held.clear()
+            ids.clear()
             keys, times = _counted(np.concatenate([k1, k2]), np.concatenate([t1, t2 * 0]))
+            del k1, t1, k2, t2
             pair, of_pair = _counted(keys & _mask(_KNOWN + 1), times)
             for i in range(0, len(pair), 100_000):
                 m = len(pair[i : i + 100_000])
@@ -381,8 +384,7 @@ def _scan(buckets: int):
             keys, times = keys[order], times[order]
             for b, at in _parts(place[order]):
                 yield rows("ask", 1, block=pa.array([block]), bucket=pa.array([b], pa.int32()), data=pa.array([_zip(keys[at], times[at])], pa.binary()))
-            held.clear()
-            ids.clear()
+            del keys, times, place, order
 
         size = 0
         for b in batches:
@@ -527,16 +529,25 @@ def _returned(buckets: int):
         for b, at in _parts(place[order]):
             count[order[at]] = _unzip(answer[-1 - b])[0]
         log, known = np.log10(count + 1.0), count > 0
+        log_sum, n_known, n_words = [float(log[x].sum()) for x in number], [int(known[x].sum()) for x in number], list(map(len, number))
+        ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)
+        score, done = np.zeros(len(lines)), 0
+        # What is used up goes first: the places in the chunks are the largest arrays here.
+        stream = b"".join(_PAD + x + END for x in lines)
+        del lines, number, ids, names, place, order, count, log, known
         # Each chunk looks its different keys up once, in order; sorted look-ups are the fast ones.
-        chunks = [np.unique(k, return_inverse=True) for k in _keys(b"".join(_PAD + x + END for x in lines))]
+        chunks = []
+        for k in _keys(stream):
+            keys, at = np.unique(k, return_inverse=True)
+            chunks.append((keys, at.astype(np.int32)))
+        stream = k = keys = at = None
         every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in chunks)]))
         place = _bucket(every, buckets)
         logp = np.zeros(len(every), dtype=np.float32)
         order = np.argsort(place, kind="stable")
         for b, at in _parts(place[order]):
             logp[order[at]] = _unzip_values(answer[b])
-        ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)
-        score, done = np.zeros(len(lines)), 0
+        del answer, place, order
         for keys, at in chunks:
             value = logp[np.searchsorted(every, keys)].astype(np.float64)[at]
             first, last = np.searchsorted(ends, [done, done + len(at) - 1], side="right")
@@ -546,8 +557,8 @@ def _returned(buckets: int):
                 score[first : last + 1] += np.add.reduceat(value, begin)
             done += len(at)
         return pa.table({
-            "doc_id": pa.array(doc_ids, texts.schema.field("ids").type.value_type), "held_out": pa.array(held, pa.bool_()), "n_words": pa.array(list(map(len, number)), pa.int64()), "score": pa.array(score),
-            "log_sum": pa.array([float(log[x].sum()) for x in number], pa.float64()), "known": pa.array([int(known[x].sum()) for x in number], pa.int64()),
+            "doc_id": pa.array(doc_ids, texts.schema.field("ids").type.value_type), "held_out": pa.array(held, pa.bool_()), "n_words": pa.array(n_words, pa.int64()), "score": pa.array(score),
+            "log_sum": pa.array(log_sum, pa.float64()), "known": pa.array(n_known, pa.int64()),
         })
 
     return run

@@ -449,6 +449,29 @@ def test_frequent_lengths_are_numbered_in_parts(spark, monkeypatch):
 # 9 PPM
 
 
+def test_returned_blocks_hold_little_memory(monkeypatch, rng):
+    import tracemalloc
+    import types
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    monkeypatch.setattr(ppm, "_CHUNK", 1 << 16)  # what one chunk takes for a while is small then
+    texts = [" ".join(f"w{i}" for i in rng.integers(3000, size=1000)) for _ in range(400)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "held_out": [i % 7 == 2 for i in range(len(texts))]})
+    scanned = pa.Table.from_batches(list(ppm._scan(8)([batch])))
+    of = lambda kind: scanned.filter(pc.equal(scanned["kind"], kind))
+    pair, n = of("pair")["bucket"].to_numpy(), of("pair")["n"].to_numpy()
+    known = types.SimpleNamespace(value=ppm._levels(np.sort(pair).astype(np.uint64), n[np.argsort(pair)], ppm._KNOWN, None))
+    ask = of("ask").select(["block", "bucket", "data"])
+    answers = pa.concat_tables([ppm._answers(known)(ask.slice(i, 1)) for i in range(len(ask))])
+    tracemalloc.start()
+    out = ppm._returned(8)(of("text"), answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == len(texts) and peak < 23 * sum(map(len, texts))
+
+
 def test_scores(tricky, sample):
     for docs in (tricky, sample):
         d = docs.collect()
