@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WORD_BYTES, carry, discard, materialize, pick, read, slices
 from .exact_dedup import bit_filter, bits_for, passing
-from .graph import components
+from .graph import AT_ONCE, components
 
 WORDS = 3
 RADIUS = 3
@@ -307,7 +307,11 @@ class _Verifier:
         pairs = materialize(self._hopeful(pairs), "candidates")
         wanted = self.classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "uid", "hash")
         wanted = materialize(wanted, "candidate-classes")
-        bits = bits_for(wanted.count())
+        found = wanted.count()
+        if not found:  # no text is read for no pair
+            discard(wanted)
+            return pairs
+        bits = bits_for(found)
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -362,7 +366,7 @@ def copy_links(classes: DataFrame, verifier: _Verifier, least: float, small: int
     is compared with the members that no earlier leader has drawn into its component: a group of copies is thinned by a few pairs
     each, without all pairs of it. In the end only members of different components are compared."""
     near = fingerprint_links(classes, verifier)
-    each = classes.join(components(near), F.col("cid") == F.col("node"), "left").select("cid", "n", F.coalesce("root", "cid").alias("near"), F.posexplode("prefix").alias("at", "h"))
+    each = classes.join(components(near, AT_ONCE), F.col("cid") == F.col("node"), "left").select("cid", "n", F.coalesce("root", "cid").alias("near"), F.posexplode("prefix").alias("at", "h"))
     shared = materialize(each.groupBy("h").count().where("count > 1"), "shared-shingles")
     members = materialize(each.join(shared, "h").select("h", "cid", "n", "at", "near", "count"), "shingle-members")
     few = members.where(F.col("count") <= small).drop("count")
@@ -373,7 +377,7 @@ def copy_links(classes: DataFrame, verifier: _Verifier, least: float, small: int
         many = members.where(F.col("count") > small).drop("count", "near")
         drawn = None  # h, root: components that a leader of the shingle has drawn in
         for _ in range(leaders):
-            roots = components(links)
+            roots = components(links, AT_ONCE)
             rooted = materialize(many.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "n", "at", F.coalesce("root", "cid").alias("root")), "rooted-members")
             still = rooted if drawn is None else rooted.join(drawn.select("h", F.col("lead")).join(rooted.select("h", F.col("cid").alias("lead"), F.col("root").alias("r")), ["h", "lead"]).select("h", F.col("r").alias("root")), ["h", "root"], "left_anti")
             still = materialize(still.select("h", "cid", "n", "at"), "open-members")
@@ -384,7 +388,7 @@ def copy_links(classes: DataFrame, verifier: _Verifier, least: float, small: int
             links = links.union(verifier.links(_pairs(first, still, least, "cid1 <> cid2")))
             lead = first.select("h", F.col("cid").alias("lead"))
             drawn = lead if drawn is None else drawn.union(lead)
-        roots = components(links)
+        roots = components(links, AT_ONCE)
         rooted = materialize(many.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "n", "at", F.coalesce("root", "cid").alias("root")), "rooted-members")
         links = links.union(verifier.links(_pairs(rooted, rooted, least, "root1 < root2")))
     return links
@@ -405,7 +409,7 @@ def keep_originals(docs: DataFrame, words: int = COPY_WORDS, least: float = COPY
     classes = materialize(classes, "set-classes")
     rows_of = materialize(marks.select("uid", "hash", "doc_id", "digest").join(classes.select("cid", "digest"), "digest").drop("digest"), "class-rows")
     discard(marks)
-    roots = components(copy_links(classes, _Verifier(texts, classes, words, least), least, small, leaders))
+    roots = components(copy_links(classes, _Verifier(texts, classes, words, least), least, small, leaders), AT_ONCE)
     grouped = rows_of.join(roots, F.col("cid") == F.col("node"), "left")
     grouped = materialize(grouped.select("uid", "hash", "doc_id", F.coalesce("root", "cid").alias("group")), "copy-groups")
     first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")

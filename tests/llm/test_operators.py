@@ -394,6 +394,33 @@ def test_components(spark, rng):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_at_once_are_those_of_rounds(spark, rng):
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-300, 300, size=(260, 2))] + [(1000 + i, 1000 + (i * 37 + 37) % 401) for i in range(400)] + [(None, 5), (1 << 40, -(1 << 40))]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    rounds = sorted(graph.components(links).collect())
+    assert sorted(graph.components(links, at_once=1000).collect()) == rounds == sorted(graph.components(links, at_once=10).collect())
+    assert graph.components(links.limit(0), at_once=10).count() == 0
+    text = links.select(F.col("a").cast("string"), F.col("b").cast("string"))
+    assert sorted(graph.components(text, at_once=1000).collect()) == sorted(graph.components(text).collect())
+
+
+def plans_so_far(spark):
+    spark.range(1).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark._jsparkSession.sharedState().statusStore().executionsList().last().executionId()
+
+
+def test_near_copies_take_few_plans(spark):
+    """The driver keeps what it knows of each plan that ran."""
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for g in range(5):
+        base = passage + [f"g{g}w{i}" for i in range(40)]
+        texts += [" ".join(base[: len(base) - k] + [f"g{g}x{i}" for i in range(k)]) for k in range(10)]
+    before = plans_so_far(spark)
+    assert kept_of(spark, texts, small=3) == kept_by_brute_force(texts)
+    assert plans_so_far(spark) - before < 68
+
+
 # 4 packing
 
 
