@@ -23,9 +23,9 @@ probability 1/256; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +58,13 @@ def line_of(raw: bytes) -> bytes:
     return b" ".join(x for x in (b" ".join(words_of(part)) for part in slices(raw)) if x)
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: a worker serves many blocks, and what it keeps of each adds to the next stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _bytes(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
@@ -328,6 +335,24 @@ def _keys(stream: bytes) -> Iterator[np.ndarray]:
         yield gram_keys(stream[at : at + _CHUNK + ORDER])
 
 
+def _different(stream: bytes) -> np.ndarray:
+    """The different keys of a stream, sorted."""
+    held = [np.zeros(0, np.uint64)]
+    for k in _keys(stream):
+        held.append(_counted(k)[0])
+        if sum(map(len, held)) > 1 << 21:
+            held = [_counted(np.concatenate(held))[0]]
+    return _counted(np.concatenate(held))[0]
+
+
+def _places(every: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where keys are in every, which holds them all; sorted look-ups are the fast ones."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), dtype=np.int64)
+    out[order] = np.searchsorted(every, keys[order])
+    return out
+
+
 def _distinct(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for k in _keys(b"".join(_PAD + x + END for x in lines)):
@@ -344,8 +369,6 @@ def _scan(buckets: int):
     word_buckets = max(1, buckets // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: defaultdict[bytes, int] = defaultdict()
-        ids.default_factory = ids.__len__
         held: list[tuple] = []
         schema: pa.Schema | None = None
 
@@ -360,21 +383,19 @@ def _scan(buckets: int):
                 lines = END.join([*(x[2] for x in part), b""])
                 packed = len(lines).to_bytes(8, "little") + pa.compress(lines, codec="zstd", asbytes=True)
                 yield rows("text", 1, block=pa.array([block]), seq=pa.array([i], pa.int32()), ids=pa.array([[x[0] for x in part]], schema.field("ids").type), held=pa.array([[x[1] for x in part]]), data=pa.array([packed], pa.binary()))
-            n_train = np.zeros(len(ids), dtype=np.int64)
-            for _, out, _, number in held:
-                if not out:
-                    np.add.at(n_train, number, 1)
-            names = list(ids)
+            names, number, n_words = _numbered([x[2] for x in held])
+            n_train = np.bincount(number[np.repeat([not x[1] for x in held], n_words)], minlength=len(names))
             place = np.fromiter((zlib.crc32(w) % word_buckets for w in names), dtype=np.int64, count=len(names))
             order = np.argsort(place, kind="stable")
             for b, at in _parts(place[order]):
                 mine = order[at]
                 yield rows("ask", 1, block=pa.array([block]), bucket=pa.array([-1 - b], pa.int32()), data=pa.array([_zip_words([names[i] for i in mine], n_train[mine])], pa.binary()))
-            (k1, t1), (k2, t2) = (_distinct([x[2] for x in held if x[1] == out]) for out in (False, True))
+            del names, number, n_train, place, order
+            k1, t1 = _distinct([x[2] for x in held if not x[1]])
+            k2 = _different(b"".join(_PAD + x[2] + END for x in held if x[1]))
             held.clear()
-            ids.clear()
-            keys, times = _counted(np.concatenate([k1, k2]), np.concatenate([t1, t2 * 0]))
-            del k1, t1, k2, t2
+            keys, times = _counted(np.concatenate([k1, k2]), np.concatenate([t1, np.zeros(len(k2), np.int64)]))
+            del k1, t1, k2
             pair, of_pair = _counted(keys & _mask(_KNOWN + 1), times)
             for i in range(0, len(pair), 100_000):
                 m = len(pair[i : i + 100_000])
@@ -385,6 +406,7 @@ def _scan(buckets: int):
             for b, at in _parts(place[order]):
                 yield rows("ask", 1, block=pa.array([block]), bucket=pa.array([b], pa.int32()), data=pa.array([_zip(keys[at], times[at])], pa.binary()))
             del keys, times, place, order
+            _give_back()
 
         size = 0
         for b in batches:
@@ -393,7 +415,7 @@ def _scan(buckets: int):
             )
             for i, t, h in zip(b.column("doc_id"), b.column("text"), b.column("held_out")):
                 line = line_of(_bytes(t))
-                held.append((i.as_py(), h.as_py(), line, _numbers(line, ids)))
+                held.append((i.as_py(), h.as_py(), line))
                 size += len(line)
                 if size >= _BLOCK_BYTES or len(held) >= _BLOCK_ROWS:
                     yield from flush()
@@ -404,10 +426,23 @@ def _scan(buckets: int):
     return run
 
 
-def _numbers(line: bytes, ids: dict[bytes, int]) -> np.ndarray:
-    """The words of a line by number; ids numbers new words."""
-    parts = [np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words)) for words in (x.split() for x in slices(line))]
-    return np.concatenate([np.zeros(0, np.int32), *parts])
+def _numbered(lines: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of lines in the order they come in, the number of each word of all lines in a row, and how many words each line has."""
+    times = np.fromiter((x.count(b" ") + 1 if x else 0 for x in lines), dtype=np.int64, count=len(lines))
+    row = b" ".join([b"", *filter(None, lines), b""])  # each word with the space before it
+    begin = np.flatnonzero(np.frombuffer(row, np.uint8) == 32)
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin.astype("<i8", copy=False)), pa.py_buffer(row)])
+    different, number = _encoded([words])
+    return [w[1:] for w in different.to_pylist()], number, times
+
+
+def _sums(values: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of runs of values, times of them in each run."""
+    out = np.zeros(len(times), values.dtype)
+    some = times > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(times) - times)[some])
+    return out
 
 
 def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -518,44 +553,37 @@ def _returned(buckets: int):
             doc_ids += ids.values.to_pylist() if isinstance(ids, pa.ListScalar) else ids.as_py()
             held += out.as_py()
         answer = dict(zip(answers.column("bucket").to_pylist(), _payloads(answers)))
-        ids: defaultdict[bytes, int] = defaultdict()  # the same numbers as in the scan
-        ids.default_factory = ids.__len__
-        number = [_numbers(x, ids) for x in lines]
-        names = list(ids)
+        names, number, n_words = _numbered(lines)  # the same numbers as in the scan
         word_buckets = max(1, buckets // 4)
         place = np.fromiter((zlib.crc32(w) % word_buckets for w in names), dtype=np.int64, count=len(names))
         count = np.zeros(len(names))
         order = np.argsort(place, kind="stable")
         for b, at in _parts(place[order]):
             count[order[at]] = _unzip(answer[-1 - b])[0]
-        log, known = np.log10(count + 1.0), count > 0
-        log_sum, n_known, n_words = [float(log[x].sum()) for x in number], [int(known[x].sum()) for x in number], list(map(len, number))
+        log_sum, n_known = _sums(np.log10(count + 1.0)[number], n_words), _sums((count > 0).astype(np.int64)[number], n_words)
         ends = np.cumsum(np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) + 1)
         score, done = np.zeros(len(lines)), 0
-        # What is used up goes first: the places in the chunks are the largest arrays here.
+        # What is used up goes first, and places in chunks are never held: their keys are made twice.
         stream = b"".join(_PAD + x + END for x in lines)
-        del lines, number, ids, names, place, order, count, log, known
-        # Each chunk looks its different keys up once, in order; sorted look-ups are the fast ones.
-        chunks = []
-        for k in _keys(stream):
-            keys, at = np.unique(k, return_inverse=True)
-            chunks.append((keys, at.astype(np.int32)))
-        stream = k = keys = at = None
-        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in chunks)]))
+        del lines, number, names, place, order, count
+        every = _different(stream)
         place = _bucket(every, buckets)
         logp = np.zeros(len(every), dtype=np.float32)
         order = np.argsort(place, kind="stable")
         for b, at in _parts(place[order]):
             logp[order[at]] = _unzip_values(answer[b])
         del answer, place, order
-        for keys, at in chunks:
-            value = logp[np.searchsorted(every, keys)].astype(np.float64)[at]
-            first, last = np.searchsorted(ends, [done, done + len(at) - 1], side="right")
+        for k in _keys(stream):
+            if not len(k):
+                continue
+            value = logp[_places(every, k)].astype(np.float64)
+            first, last = np.searchsorted(ends, [done, done + len(k) - 1], side="right")
             # The documents that the chunk touches, from where each of them begins in it.
             begin = np.maximum(np.concatenate([[done], ends[first:last]]) - done, 0)
-            if len(at):
-                score[first : last + 1] += np.add.reduceat(value, begin)
-            done += len(at)
+            score[first : last + 1] += np.add.reduceat(value, begin)
+            done += len(k)
+        stream = every = logp = k = value = begin = None
+        _give_back()
         return pa.table({
             "doc_id": pa.array(doc_ids, texts.schema.field("ids").type.value_type), "held_out": pa.array(held, pa.bool_()), "n_words": pa.array(n_words, pa.int64()), "score": pa.array(score),
             "log_sum": pa.array(log_sum, pa.float64()), "known": pa.array(n_known, pa.int64()),

@@ -499,6 +499,39 @@ def test_returned_blocks_hold_little_memory(monkeypatch, rng):
     assert len(out) == len(texts) and peak < 23 * sum(map(len, texts))
 
 
+def test_returned_blocks_hold_no_places(monkeypatch, rng):
+    """On a block of few different grams, where what is kept for each byte of text is most of the memory."""
+    import tracemalloc
+    import types
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    monkeypatch.setattr(ppm, "_CHUNK", 1 << 16)
+    texts = [" ".join(f"word{i:03}" for i in rng.integers(30, size=1000)) for _ in range(400)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "held_out": [i % 7 == 2 for i in range(len(texts))]})
+    scanned = pa.Table.from_batches(list(ppm._scan(8)([batch])))
+    of = lambda kind: scanned.filter(pc.equal(scanned["kind"], kind))
+    pair, n = of("pair")["bucket"].to_numpy(), of("pair")["n"].to_numpy()
+    known = types.SimpleNamespace(value=ppm._levels(np.sort(pair).astype(np.uint64), n[np.argsort(pair)], ppm._KNOWN, None))
+    ask = of("ask").select(["block", "bucket", "data"])
+    answers = pa.concat_tables([ppm._answers(known)(ask.slice(i, 1)) for i in range(len(ask))])
+    tracemalloc.start()
+    ppm._returned(8)(of("text"), answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * sum(map(len, texts)), peak / sum(map(len, texts))
+
+
+def test_words_of_a_block_are_numbered_as_they_come():
+    names, number, times = ppm._numbered([b"", b"b a", b"a", b"", b"c\xc3\xa4 b b", b""])
+    assert (names, number.tolist(), times.tolist()) == ([b"b", b"a", b"c\xc3\xa4"], [0, 1, 1, 2, 0, 0], [0, 2, 1, 0, 3, 0])
+    assert ppm._sums(number.astype(float), times).tolist() == [0, 1, 1, 0, 2, 0]
+    for lines in ([], [b""]):
+        names, number, times = ppm._numbered(lines)
+        assert names == [] and len(number) == 0 and ppm._sums(number, times).tolist() == [0] * len(lines)
+
+
 def test_scores(tricky, sample):
     for docs in (tricky, sample):
         d = docs.collect()
