@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import shutil
 import tempfile
@@ -11,6 +12,7 @@ import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +124,13 @@ def slices(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
         at = end
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker serves many blocks, and what it keeps of each adds to the next stage."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def find(df: DataFrame, name: str) -> int | None:
     """Index of the column called name: the exact spelling first, then any case."""
     for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):

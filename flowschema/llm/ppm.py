@@ -23,7 +23,6 @@ probability 1/256; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, empty_like, id_crc, materialize, pick, read, scratch_path, slices
+from .common import LOWER, discard, empty_like, give_back, id_crc, materialize, pick, read, scratch_path, slices
 
 ORDER = 6
 END = b"\n"
@@ -58,13 +57,6 @@ def line_of(raw: bytes) -> bytes:
     return b" ".join(x for x in (b" ".join(words_of(part)) for part in slices(raw)) if x)
 
 
-def _give_back() -> None:
-    """Freed memory goes back to the system: a worker serves many blocks, and what it keeps of each adds to the next stage."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def _bytes(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
@@ -406,7 +398,7 @@ def _scan(buckets: int):
             for b, at in _parts(place[order]):
                 yield rows("ask", 1, block=pa.array([block]), bucket=pa.array([b], pa.int32()), data=pa.array([_zip(keys[at], times[at])], pa.binary()))
             del keys, times, place, order
-            _give_back()
+            give_back()
 
         size = 0
         for b in batches:
@@ -583,7 +575,7 @@ def _returned(buckets: int):
             score[first : last + 1] += np.add.reduceat(value, begin)
             done += len(k)
         stream = every = logp = k = value = begin = None
-        _give_back()
+        give_back()
         return pa.table({
             "doc_id": pa.array(doc_ids, texts.schema.field("ids").type.value_type), "held_out": pa.array(held, pa.bool_()), "n_words": pa.array(n_words, pa.int64()), "score": pa.array(score),
             "log_sum": pa.array(log_sum, pa.float64()), "known": pa.array(n_known, pa.int64()),

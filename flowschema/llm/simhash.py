@@ -23,6 +23,7 @@ shingle make one shingle; a null identifier is larger than all others; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTES, carry, discard, materialize, pick, read, slices
+from .common import LOWER, WORD_BYTES, carry, discard, give_back, materialize, pick, read, slices
 from .exact_dedup import bit_filter, bits_for, passing
 from .graph import AT_ONCE, components
 
@@ -207,15 +208,8 @@ SMALL, LEADERS = 32, 4
 _BITMAP = 32
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, HASH_SEED)
-        return h
-
-
-_word_hash = _WordHashes().__getitem__
+#: Shingles whose sets a task holds before it hands them on: 2 MB of hashes, and one set more at most.
+_AT_HAND = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -223,7 +217,7 @@ def shingle_set(text: pa.Scalar, words: int) -> np.ndarray:
     """64-bit hashes of the set of shingles, sorted: those of the words, mixed in their order."""
     out = [np.zeros(0, dtype=np.uint64)]
     for found in word_runs(text.as_buffer().to_pybytes() if text.is_valid else b"", words):
-        k = np.fromiter(map(_word_hash, found), dtype=np.uint64, count=len(found))
+        k = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(HASH_SEED)), dtype=np.uint64, count=len(found))
         m = min(words, len(k))
         h = np.full(len(k) - m + 1, m, dtype=np.uint64)
         for j in range(m):
@@ -233,16 +227,40 @@ def shingle_set(text: pa.Scalar, words: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def frequent_shingles(docs: DataFrame, words: int, last: int = _LAST) -> np.ndarray:
-    """Hashes that are frequent in a share of the documents, the rarest first. They only decide the order in which prefixes are taken, not the result."""
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows in runs with the sets of their texts; a run ends as soon as its sets hold _AT_HAND shingles."""
+    for b in batches:
+        start, held, size = 0, [], 0
+        for i, t in enumerate(b.column("text"), 1):
+            held.append(shingle_set(t, words))
+            size += len(held[-1])
+            if size >= _AT_HAND or i == len(b):
+                yield b.slice(start, i - start), held
+                start, held, size = i, [], 0
+        give_back()
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit numbers as lists."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(a.view(np.int64) for a in arrays)])))
+
+
+def _counted(words: int):
+    """Texts to hashes of shingles and the number of sets that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_set(t, words) for t in b.column("text"))]), return_counts=True)
+        for _, sets in _sets(batches, words):
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
+    return run
+
+
+def frequent_shingles(docs: DataFrame, words: int, last: int = _LAST) -> np.ndarray:
+    """Hashes that are frequent in a share of the documents, the rarest first. They only decide the order in which prefixes are taken, not the result."""
     rate = max(1, min(_RATE, docs.count() // _SAMPLE))
-    counts = docs.where(F.pmod("hash", F.lit(rate)) == 0).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = docs.where(F.pmod("hash", F.lit(rate)) == 0).select("text").mapInArrow(_counted(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     counts = materialize(counts.where(F.col("n") >= _FREQUENT), "frequent-shingles")
     # The least count such that no more than last hashes reach it; counts beyond 1000 are one class here.
     above, least = 0, _FREQUENT
@@ -257,20 +275,15 @@ def frequent_shingles(docs: DataFrame, words: int, last: int = _LAST) -> np.ndar
     return h[np.lexsort((h, n))]
 
 
-def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """uid, hash, doc_id, digest of the set of shingles, its size n, its prefix, its bitmap, and its fingerprint, as a written table.
-
-    Two sets of similarity least or more share a shingle of their first n - ceil(least * n) + 1 in one fixed order of all shingles:
-    those not known as frequent by hash, then the frequent ones."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
+def _marked(frequent, words: int, least: float):
+    """Texts to what prefixes() returns of them. frequent: a broadcast of frequent_shingles()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.argsort(frequent.value)
         known = frequent.value[rank]
-        for b in batches:
+        for b, sets in _sets(batches, words):
             digest, size, prefix, bitmap, fp = [], [], [], [], []
-            for t in b.column("text"):
-                h = shingle_set(t, words)
+            for h in sets:
                 digest.append(xxhash.xxh128_digest(h.astype("<u8").tobytes()))
                 size.append(len(h))
                 fp.append(signed(fingerprint(h)))
@@ -280,14 +293,20 @@ def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
                 m = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 late = np.where(known[at] == h, rank[at] + 1, 0) if len(known) else np.zeros(len(h), np.int64)
-                prefix.append(h[np.lexsort((h, late))][:m].view(np.int64))
-            ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            bitmaps = pa.ListArray.from_arrays(pa.array(np.arange(len(bitmap) + 1, dtype=np.int32) * _BITMAP), pa.array(np.concatenate([np.zeros(0, np.int64), *bitmap])))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("uid", "hash", "doc_id")), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), lists, bitmaps, pa.array(fp, pa.int64())], names=["uid", "hash", "doc_id", "digest", "n", "prefix", "bitmap", "fp"])
+                prefix.append(h[np.lexsort((h, late))[:m]])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("uid", "hash", "doc_id")), pa.array(digest, pa.binary()), pa.array(size, pa.int32()), _lists(prefix), _lists(bitmap), pa.array(fp, pa.int64())], names=["uid", "hash", "doc_id", "digest", "n", "prefix", "bitmap", "fp"])
+
+    return run
+
 
+def prefixes(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """uid, hash, doc_id, digest of the set of shingles, its size n, its prefix, its bitmap, and its fingerprint, as a written table.
+
+    Two sets of similarity least or more share a shingle of their first n - ceil(least * n) + 1 in one fixed order of all shingles:
+    those not known as frequent by hash, then the frequent ones."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return materialize(docs.mapInArrow(run, f"uid binary, hash long, doc_id {kind}, digest binary, n int, prefix array<long>, bitmap array<long>, fp long"), "prefixes")
+    return materialize(docs.mapInArrow(_marked(frequent, words, least), f"uid binary, hash long, doc_id {kind}, digest binary, n int, prefix array<long>, bitmap array<long>, fp long"), "prefixes")
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -296,6 +315,16 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("hash", F.xxhash64(key)).withColumn("uid", F.unhex(F.md5(key)))
 
 
+def _whole(words: int):
+    """uid and text to uid and the whole set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, sets in _sets(batches, words):
+            yield pa.RecordBatch.from_arrays([b.column("uid"), _lists(sets)], names=["uid", "shingles"])
+
+    return run
+
+
 class _Verifier:
     """Candidate pairs of classes (a, b) to links: those whose whole sets are alike."""
 
@@ -303,7 +332,7 @@ class _Verifier:
         self.texts, self.classes, self.words, self.least = texts, classes, words, least
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        words, least = self.words, self.least
+        least = self.least
         pairs = materialize(self._hopeful(pairs), "candidates")
         wanted = self.classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "uid", "hash")
         wanted = materialize(wanted, "candidate-classes")
@@ -312,14 +341,8 @@ class _Verifier:
             discard(wanted)
             return pairs
         bits = bits_for(found)
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sets = pa.array([shingle_set(t, words).view(np.int64) for t in b.column("text")], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("uid"), sets], names=["uid", "shingles"])
-
         # Texts of other documents are kept out by the filter; rows that repeat a candidate meet as one.
-        sets = passing(self.texts.select("uid", "hash", "text"), bit_filter(wanted, bits), bits).select("uid", "text").mapInArrow(whole, "uid binary, shingles array<long>")
+        sets = passing(self.texts.select("uid", "hash", "text"), bit_filter(wanted, bits), bits).select("uid", "text").mapInArrow(_whole(self.words), "uid binary, shingles array<long>")
         sets = sets.join(wanted.select("uid", "cid"), "uid").groupBy("cid").agg(F.first("shingles").alias("shingles"))
         sets = materialize(sets, "candidate-sets")
         both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b")

@@ -357,6 +357,44 @@ def test_shingles_of_long_texts_are_those_of_the_whole(monkeypatch, rng):
     assert len(two) == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) and len(simhash.shingle_hashes(b"a " * 9, 3)) == 7
 
 
+def test_shingle_sets_leave_nothing_behind(rng):
+    """A worker makes the sets of a whole corpus and goes on to other stages; its words are too many to keep."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [pa.scalar(" ".join(f"w{i}" for i in rng.integers(1 << 40, size=1000))) for _ in range(100)]
+    tracemalloc.start()
+    sizes = [len(simhash.shingle_set(t, 5)) for t in texts]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert sizes == [996] * 100 and held < 1 << 20, held
+
+
+def test_shingle_sets_are_handed_on_in_small_runs(monkeypatch, rng):
+    import tracemalloc
+    import types
+
+    import pyarrow as pa
+
+    texts = [None, "", " \t", "Two words", *(" ".join(f"w{i}" for i in rng.integers(900, size=300)) for _ in range(400)), None]
+    batch = pa.record_batch({"uid": [b"%d" % i for i in range(len(texts))], "hash": range(len(texts)), "doc_id": range(len(texts)), "text": pa.array(texts, pa.string())})
+    frequent = types.SimpleNamespace(value=rng.permutation(np.unique(np.concatenate([simhash.shingle_set(pa.scalar(t), 5) for t in texts[5:20]]))))
+    sums = lambda t: t.group_by("h").aggregate([("n", "sum")]).sort_by("h")
+    same = lambda t: t.combine_chunks()
+    for run, by in ((simhash._whole(5), same), (simhash._marked(frequent, 5, 0.8), same), (simhash._counted(5), sums)):
+        found = []
+        for most in (1 << 30, 1000):
+            monkeypatch.setattr(simhash, "_AT_HAND", most)
+            out = list(run(iter([batch, batch.slice(0, 0), batch.slice(3, 5)])))
+            tracemalloc.start()
+            collections.deque(run(iter([batch])), maxlen=0)
+            found.append((len(out), tracemalloc.get_traced_memory()[1], by(pa.Table.from_batches(out))))
+            tracemalloc.stop()
+        (one, much, want), (many, little, got) = found
+        assert got.equals(want) and one == 2 and many > 80 and little < much / 3, (many, much, little)
+
+
 def test_copies_with_added_passages_go(spark, rng):
     texts = []
     for size in (60, 150, 400):
