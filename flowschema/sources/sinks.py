@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+_BUCKETS = 4096
 _CSV = {"sep": "sep", "na_rep": "nullValue", "header": "header", "quotechar": "quote", "escapechar": "escape", "date_format": "dateFormat", "compression": "compression", "line_terminator": "lineSep", "encoding": "encoding"}
 _PARQUET = {"compression": "compression", "row_group_size": "parquet.block.size", "use_dictionary": "parquet.enable.dictionary", "data_page_size": "parquet.page.size", "version": "parquet.writer.version"}
 
@@ -111,18 +112,33 @@ class Writer:
         df.mapInArrow(dump, "rows long").agg(F.sum("rows")).collect()
 
 
+def _in_shards(df: DataFrame, shards: int) -> DataFrame:
+    """df with __shard, its partition: from 0 to shards - 1, counts differ by one at most.
+
+    repartition(n) deals the rows of each task out from a place of its own, so counts differ by up to the number of tasks. Here rows fall into buckets by their values,
+    and each bucket is dealt out from where those before it ended. Counts of buckets depend on neither tasks nor pruned columns; they are read in a pass of their own."""
+    values = [F.to_json(F.struct(f"`{f.name}`")) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{f.name}`") for f in df.schema]
+    keyed = df.withColumns({"__h": F.xxhash64(*values), "__g": F.xxhash64(F.lit(1), *values)}).withColumn("__b", F.pmod("__h", F.lit(_BUCKETS)))
+    before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+    starts = keyed.groupBy("__b").count().select("__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__s"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", "__g")).cast("long")  # ties are equal rows, so tasks that are run again deal alike
+    placed = keyed.withColumn("__n", place).join(F.broadcast(starts), "__b")
+    return placed.select(*(f"`{c}`" for c in df.columns), F.pmod(F.col("__s") + F.col("__n"), F.lit(shards)).cast("int").alias("__shard")).repartitionById(shards, "__shard")
+
+
 def write_shards(df: DataFrame, writer: Writer, path: str, shards: int = 1, base: str = "data", part_names: bool = False) -> list[str]:
-    """df in equal shards, each a folder base_00000-of-00003 or part-00000. A shard is one file of one task, so size shards to memory."""
+    """df in equal shards (counts differ by one at most), each a folder base_00000-of-00003 or part-00000. A shard is one file of one task, so size shards to memory.
+    df is read twice; if its values change from one reading to the next, all rows are written still, but shards are equal only about."""
     if writer.kind in ("print", "jdbc", "table"):
         raise ValueError(f"{writer.kind} has no files to shard")
     names = [f"part-{i:05d}" if part_names else f"{base}_{i:05d}-of-{shards:05d}" for i in range(shards)]
     if shards == 1:
         writer.write(df.coalesce(1), f"{path}/{names[0]}", "overwrite")
         return names
-    rows = writer.prepared(df).repartition(shards)
+    rows = _in_shards(writer.prepared(df), shards)
     if writer.kind == "pickle" or writer.kind == "json" and writer.options.get("document"):
-        Writer(writer.kind, {k: v for k, v in writer.options.items() if k not in ("columns", "index")})._files(rows, path, "overwrite")
+        Writer(writer.kind, {k: v for k, v in writer.options.items() if k not in ("columns", "index")})._files(rows.drop("__shard"), path, "overwrite")
         return [f"part-{i:05d}.{writer.kind}" for i in range(shards)]
-    name = F.element_at(F.array(*(F.lit(n) for n in names)), F.spark_partition_id() + 1)
-    rows.withColumn("shard", name).write.format(writer.kind).options(**writer.known()).partitionBy("shard").mode("overwrite").save(path)
+    name = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("__shard") + 1)
+    rows.withColumn("shard", name).drop("__shard").write.format(writer.kind).options(**writer.known()).partitionBy("shard").mode("overwrite").save(path)
     return names

@@ -20,6 +20,20 @@ from flowschema.synth import TableGenerator, build, generate_tables
 from flowschema.synth.generators import Row
 
 
+def test_shards_are_equal(spark, tmp_path):
+    """However many tasks the rows come from, and if all rows are the same; maps have no hash of their own."""
+    for k, rows in enumerate((spark.range(0, 1003, 1, 60), spark.range(0, 1003, 1, 60).selectExpr("1 AS id"), spark.range(0, 50, 1, 7).selectExpr("id", "map(id, 2) AS `m.n`"))):
+        write_shards(rows, Writer("parquet"), str(tmp_path / f"p{k}"), 3)
+        back = spark.read.parquet(str(tmp_path / f"p{k}"))
+        counts = sorted(r["count"] for r in back.groupBy("shard").count().collect())
+        assert len(counts) == 3 and counts[2] - counts[0] <= 1
+        assert sorted(r.id for r in back.collect()) == sorted(r.id for r in rows.collect())
+        assert all(len(list(d.glob("*.parquet"))) == 1 for d in (tmp_path / f"p{k}").glob("shard=*"))
+    write_shards(spark.range(0, 1003, 1, 60), Writer("pickle"), str(tmp_path / "k"), 4)
+    read = [pickle.loads(f.read_bytes()) for f in sorted((tmp_path / "k").glob("*.pickle"))]
+    assert sorted(map(len, read)) == [250, 251, 251, 251] and sorted(r["id"] for x in read for r in x) == list(range(1003))
+
+
 def test_every_query_but_open_ones_has_sql():
     names = set(catalogue.queries()) | set(checks.QUERIES)
     assert names <= set(__spark_entry__.queries()) and names <= set(__spark_entry__.oracle_sql())
