@@ -11,6 +11,8 @@ The result is Spark SQL text, so that the optimizer sees one declarative plan. M
 * ASOF JOIN: equal keys, and of the rows that meet the inequality the nearest.
 * SAMPLE r OFFSET o: rows whose hash lies in [o, o + r) of the unit interval. FINAL: the last version of each key (of equal versions the
   greatest row).
+* uniqExact and quantileExact over all rows of a table: subqueries of their own. Beside other aggregates, a distinct count makes Spark keep the states of all of them
+  for each distinct value, and an exact percentile gathers all distinct values in one task.
 * PREWHERE: a conjunct of WHERE. GLOBAL and LOCAL: distribution hints, without a meaning of their own here.
 * Nulls are last in ORDER BY unless it says otherwise. Arrays count from 1.
 """
@@ -48,6 +50,9 @@ class SparkPrinter(Printer):
         self.named_values: dict[str, str] = {}
         self.relation = relation  # makes a view of an ASOF join and returns its name
         self.count = 0
+        self.free = self.outer_free = True  # the next query, the one around: it can't refer to columns of queries around it
+        self.ctes: set[str] = set()
+        self.rows = ""  # FROM and WHERE of the select whose exact aggregates become subqueries
 
     def fresh(self, word: str) -> str:
         self.count += 1
@@ -73,6 +78,8 @@ class SparkPrinter(Printer):
     def p_Call(self, n):
         if self.clickhouse and n.name.lower() == "count" and not n.args:
             n = replace(n, args=[A.Star()])
+        if self.rows and _exact(n):
+            return self.apart(n)
         if self.clickhouse and n.over is None:
             if made := CLICKHOUSE.get(n.name.lower()):
                 return made(self, n)
@@ -80,6 +87,46 @@ class SparkPrinter(Printer):
                 raise SqlError(f"no meaning for {n.name} with parameters")
         return super().p_Call(n)
 
+    def apart(self, n: A.Call) -> str:
+        """An exact aggregate over all rows, which reads them in a subquery of its own. max() leaves it an aggregate."""
+        rows, self.rows = self.rows, ""
+        args = [self(a) for a in n.args]
+        if n.name.lower() in ("uniqexact", "count"):
+            names = ", ".join(f"{a} AS __x{i}" for i, a in enumerate(args))
+            out = f"coalesce(max((SELECT count(*) FROM (SELECT DISTINCT {names} {rows}) WHERE {' AND '.join(f'__x{i} IS NOT NULL' for i in range(len(args)))})), 0L)"
+        else:
+            out = f"max(({_quantile(args[0], float(n.params[0].text) if n.params else 0.5, rows)}))"
+        self.rows = rows
+        return out
+
+    def splits(self, n: A.Select) -> bool:
+        """Whether the exact aggregates of n can be read apart: the rows are those of tables, the same each time, and the arguments are columns of theirs."""
+        if not (self.clickhouse and self.outer_free and n.source is not None and n.group is None and not n.distinct and not n.windows):
+            return False
+        output = [*n.items, *([n.having] if n.having is not None else [])]
+        exact = [x for o in output for x in o.walk() if _exact(x)]
+        if any(_exact(x) for o in n.items if not isinstance(o, A.Aliased) for x in o.walk()):
+            return False  # the text of the call names the column
+        inside = {id(y) for x in exact for y in x.walk()}
+        if {x.name.lower() for x in exact} <= {"uniqexact", "count"} and len({repr(x) for x in exact}) < 2 and not any(isinstance(x, A.Call) and id(x) not in inside for o in output for x in o.walk()):
+            return False  # nothing, or a distinct count alone
+        source = list(n.source.walk())
+        if any(not isinstance(x, (A.Table, A.Join)) or getattr(x, "tablesample", None) or isinstance(x, A.Table) and x.name[-1] in self.ctes or isinstance(x, A.Join) and "ASOF" in x.words for x in _relations(n.source)) or any(isinstance(x, A.Query) for x in source):
+            return False
+        aliases = {o.alias for o in n.items if isinstance(o, A.Aliased)}
+        if any(isinstance(x, A.Query) or isinstance(x, A.Name) and x.parts[0] in aliases and len(x.parts) == 1 for e in exact for x in e.walk()):
+            return False
+        read = [*source, *([x for x in n.where.walk()] if n.where is not None else []), *(x for e in exact for x in e.walk())]
+        return not any(isinstance(x, A.Call) and x.name.lower() in ("rand", "randn", "random", "uuid", "shuffle", "monotonically_increasing_id", "spark_partition_id") for x in read)
+
+    def p_FromQuery(self, n):
+        self.free = self.outer_free
+        return super().p_FromQuery(n)
+
+    def p_Cte(self, n):
+        self.free = self.outer_free
+        return super().p_Cte(n)
+
     def p_Lambda(self, n):
         return (n.params[0] if len(n.params) == 1 else f"({', '.join(n.params)})") + f" -> {self(n.body)}"
 
@@ -294,24 +341,31 @@ class SparkPrinter(Printer):
             n = replace(n, prewhere=None, where=both)
         if n.group is not None and "TOTALS" in n.group.modifiers and n.having is not None:
             n = replace(n, having=A.Binary("OR", A.Tuple([n.having]), A.Binary("=", A.Call("grouping_id", []), A.Lit(str((1 << len(n.group.items)) - 1)))))
+        splits = self.splits(n)
+        outside, self.rows = self.rows, ""
         source = self(n.source) if n.source is not None else None  # first: it may name values
+        where = self(n.where) if n.where is not None else None
+        if splits:
+            self.rows = f"FROM {source}" + (f" WHERE {where}" if where else "")
         text = super().p_Select(replace(n, source=None, top=None, where=None, group=None, having=None, windows=[]))
         if n.hint:
             text = text.replace("SELECT", f"SELECT /*+ {n.hint} */", 1)
         parts = [text]
         if source:
             parts.append(f"FROM {source}")
-        if n.where is not None:
-            parts.append(f"WHERE {self(n.where)}")
+        if where is not None:
+            parts.append(f"WHERE {where}")
         if n.group is not None:
             parts.append(self(n.group))
         if n.having is not None:
             parts.append(f"HAVING {self(n.having)}")
+        self.rows = outside
         if n.windows:
             parts.append("WINDOW " + ", ".join(f"{name} AS {self(w)}" for name, w in n.windows))
         return " ".join(p for p in parts if p)
 
     def with_(self, n):
+        self.ctes |= {c.name for c in n.ctes if c.scalar is None}
         for c in n.ctes:
             if c.scalar is not None:
                 self.named_values[c.name] = f"({self(c.scalar)})"
@@ -319,11 +373,12 @@ class SparkPrinter(Printer):
         return [f"WITH {self.many(queries)}"] if queries else []
 
     def p_Query(self, n):
-        before = dict(self.named_values)
+        before, around, ctes, rows = dict(self.named_values), self.outer_free, set(self.ctes), self.rows
+        self.outer_free, self.free, self.rows = self.free, False, ""
         try:
             text = self._query(n)
         finally:
-            self.named_values = before
+            self.named_values, self.outer_free, self.free, self.ctes, self.rows = before, around, False, ctes, rows
         return f"({text})" if n.in_parens else text
 
     def _query(self, n):
@@ -409,6 +464,36 @@ def _stored(n: A.Create) -> A.Create:
     return replace(n, clauses=" ".join(clauses.split()), options=options, format=form)
 
 
+def _exact(x) -> bool:
+    """An aggregate that Spark evaluates with all distinct values at hand, in the forms that can be read apart."""
+    if not isinstance(x, A.Call) or x.over is not None or x.where is not None or not x.args or any(isinstance(a, (A.Star, A.Lambda)) for a in x.args):
+        return False
+    name = x.name.lower()
+    if name in ("uniqexact", "count"):
+        return x.distinct or name == "uniqexact"
+    level = x.params or []
+    return not x.distinct and len(x.args) == 1 and (name == "median" and not level or name == "quantileexact" and len(level) == 1 and isinstance(level[0], A.Lit) and bool(re.fullmatch(r"0?\.\d+|[01](\.0*)?", level[0].text)))
+
+
+def _relations(x) -> list:
+    """The tables and joins of FROM; anything else as it is."""
+    return [x, *_relations(x.left), *_relations(x.right)] if isinstance(x, A.Join) else [x]
+
+
+def _quantile(x: str, level: float, rows: str) -> str:
+    """percentile(x, level) over rows, exactly, as a query. Approximate cuts around the place divide the rows in three; of the parts that hold it alone the values are put in order.
+    Poor cuts make the parts larger, not the result wrong."""
+    values = f"(SELECT CAST({x} AS DOUBLE) AS __x {rows})"
+    cuts = f"(SELECT percentile_approx(__x, array({max(level - 0.0005, 0):.10f}D, {min(level + 0.0005, 1):.10f}D), 10000) AS __c FROM {values})"
+    parts = f"(SELECT any_value(__c[0]) AS __lo, any_value(__c[1]) AS __hi, count_if(__x < __c[0]) AS __below, count_if(__x <= __c[1]) AS __until, (count(__x) - 1) * {level!r}D AS __at FROM {values} CROSS JOIN {cuts})"
+    place = f"(SELECT *, CASE WHEN floor(__at) < __below THEN 0L WHEN floor(__at) < __until THEN __below ELSE __until END AS __start FROM {parts})"
+    held = "floor(__at) < __below AND __x < __lo OR floor(__at) < __until AND ceil(__at) >= __below AND __x >= __lo AND __x <= __hi OR ceil(__at) >= __until AND __x > __hi"
+    counts = f"(SELECT __x, count(*) AS __n, any_value(__start) AS __start, any_value(__at) AS __at FROM {values} CROSS JOIN {place} WHERE {held} GROUP BY __x)"
+    ends = f"(SELECT __x, __at, __start + sum(__n) OVER (ORDER BY __x ROWS UNBOUNDED PRECEDING) AS __end FROM {counts})"
+    two = f"(SELECT min(__x) FILTER (WHERE __end > floor(__at)) AS __a, min(__x) FILTER (WHERE __end > ceil(__at)) AS __b, any_value(__at) AS __at FROM {ends})"
+    return f"SELECT if(__a = __b, __a, (ceil(__at) - __at) * __a + (__at - floor(__at)) * __b) FROM {two}"
+
+
 def _name_of(relation) -> str | None:
     return getattr(relation, "alias", None) or (relation.name[-1] if isinstance(relation, A.Table) else None)
 

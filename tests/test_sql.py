@@ -137,3 +137,36 @@ def test_tuples_and_floats_of_clickhouse():
 def test_settings_and_format_are_said_to_have_no_effect(spark):
     with pytest.warns(UserWarning, match="SETTINGS and FORMAT"):
         assert run(spark, "SELECT 1 AS a SETTINGS max_threads = 1 FORMAT JSON", "clickhouse").count() == 1
+
+
+def test_exact_aggregates_are_read_apart(spark):
+    """Over all rows, beside other aggregates: neither a distinct count of Spark nor its exact percentile, with their results."""
+    nan, inf = float("nan"), float("inf")
+    many = [(i % 7, (i * 7919 % 4001) / 8) for i in range(4001)]
+    cases = ([], [(None, None)], [(1, 2.0)], [(1, 2.0), (1, 4.0)], [(1, nan), (2, 1.0), (None, 2.0)], [(1, inf), (2, 1.0)], [(1, 5.0)] * 500 + [(2, 6.0)] * 501, [*many, (None, None)])
+    for k, rows in enumerate(cases):
+        spark.createDataFrame(rows, "a int, b double").createOrReplaceTempView("exact_rows")
+        for where in ("", " WHERE b > 100 OR a IS NULL") if k == 7 else ("",):
+            for level in (0, 0.001, 0.77, 1) if k == 7 else (0.5,):
+                text = f"SELECT uniqExact(a) AS u, uniqExact(a, b) AS w, round(quantileExact({level})(b), 6) AS q, median(b) AS m, count() AS n, sum(a) + uniqExact(a % 3) AS s FROM exact_rows{where}"
+                made = to_spark_sql(text, "clickhouse")
+                assert "count(DISTINCT" not in made and "percentile(" not in made
+                want = f"SELECT count(DISTINCT a) AS u, count(DISTINCT a, b) AS w, round(percentile(b, {level}D), 6) AS q, percentile(b, 0.5D) AS m, count(*) AS n, sum(a) + count(DISTINCT a % 3) AS s FROM exact_rows{where}"
+                assert repr(run(spark, text, "clickhouse").collect()) == repr(spark.sql(want).collect()), (k, level, where)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT uniqExact(a) AS u FROM t",
+        "SELECT uniqExact(a), count() FROM t",
+        "SELECT k, uniqExact(a) AS u, count() AS n FROM t GROUP BY k",
+        "SELECT uniqExact(a) AS u, count() AS n FROM (SELECT a FROM t LIMIT 5)",
+        "WITH t AS (SELECT a FROM s LIMIT 5) SELECT uniqExact(a) AS u, count() AS n FROM t",
+        "SELECT b + 1 AS c, uniqExact(c) AS u, count() AS n FROM t",
+        "SELECT uniqExact(a) AS u, count() AS n FROM t WHERE rand() > 7",
+        "SELECT a FROM s WHERE 1 = (SELECT uniqExact(a) + count() AS u FROM t WHERE t.k = s.k)",
+    ],
+)
+def test_exact_aggregates_that_stay(text):
+    assert "count(DISTINCT" in to_spark_sql(text, "clickhouse")
