@@ -13,6 +13,7 @@ The result is Spark SQL text, so that the optimizer sees one declarative plan. M
   greatest row).
 * uniqExact and quantileExact over all rows of a table: subqueries of their own. Beside other aggregates, a distinct count makes Spark keep the states of all of them
   for each distinct value, and an exact percentile gathers all distinct values in one task.
+* GROUP BY columns of a table and of its exploded arrays: rows of a large table are brought together before they are exploded, if those columns spread them well.
 * PREWHERE: a conjunct of WHERE. GLOBAL and LOCAL: distribution hints, without a meaning of their own here.
 * Nulls are last in ORDER BY unless it says otherwise. Arrays count from 1.
 """
@@ -23,7 +24,9 @@ import re
 import warnings
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ast as A
 from .functions import CLICKHOUSE, clickhouse_type
@@ -32,6 +35,10 @@ from .parser import parse, parse_one
 from .printer import Printer
 
 _HASH_SPACE = 1 << 20
+#: Bytes of a table in each part that is exploded and grouped by one task, so that its groups fit in memory.
+PART_BYTES = 16 << 20
+#: What depends on where a row lies or is new at each call.
+_UNSTEADY = ("rand", "randn", "random", "uuid", "shuffle", "monotonically_increasing_id", "spark_partition_id", "input_file_name", "input_file_block_start", "input_file_block_length")
 
 
 @dataclass
@@ -44,11 +51,13 @@ class Keys:
 
 
 class SparkPrinter(Printer):
-    def __init__(self, dialect: str = "spark", variables: dict[str, str] | None = None, keys: dict[str, Keys] | None = None, relation=None):
+    def __init__(self, dialect: str = "spark", variables: dict[str, str] | None = None, keys: dict[str, Keys] | None = None, relation=None, spread=None):
         self.clickhouse = dialect == "clickhouse"
         self.variables, self.keys = variables or {}, keys or {}
         self.named_values: dict[str, str] = {}
         self.relation = relation  # makes a view of an ASOF join and returns its name
+        self.spread = spread  # into how many parts to put the rows of a table by some columns, or None
+        self.parts: tuple[A.Table, str] | None = None  # the table to put in parts, its hint
         self.count = 0
         self.free = self.outer_free = True  # the next query, the one around: it can't refer to columns of queries around it
         self.ctes: set[str] = set()
@@ -117,7 +126,29 @@ class SparkPrinter(Printer):
         if any(isinstance(x, A.Query) or isinstance(x, A.Name) and x.parts[0] in aliases and len(x.parts) == 1 for e in exact for x in e.walk()):
             return False
         read = [*source, *([x for x in n.where.walk()] if n.where is not None else []), *(x for e in exact for x in e.walk())]
-        return not any(isinstance(x, A.Call) and x.name.lower() in ("rand", "randn", "random", "uuid", "shuffle", "monotonically_increasing_id", "spark_partition_id") for x in read)
+        return not any(isinstance(x, A.Call) and x.name.lower() in _UNSTEADY for x in read)
+
+    def parted(self, n: A.Select) -> tuple[A.Table, str] | None:
+        """The table of n to put in parts by those of its columns that n groups by, next to columns of its exploded arrays."""
+        table, made = n.source, set()
+        while isinstance(table, (A.LateralView, A.ArrayJoin)):
+            made |= set(table.columns) if isinstance(table, A.LateralView) else {i.alias if isinstance(i, A.Aliased) else getattr(i, "parts", [""])[-1] for i in table.items}
+            table = table.relation
+        g = n.group
+        if self.spread is None or not self.outer_free or table is n.source or g is None or g.function or g.modifiers or g.sets is not None or not isinstance(table, A.Table):
+            return None
+        if len(table.name) > 1 or table.final or table.sample or table.tablesample or table.columns or table.name[0] in self.ctes:
+            return None
+        if any(isinstance(x, A.Call) and x.name.lower() in _UNSTEADY or isinstance(x, A.Name) and "_metadata" in x.parts for x in n.walk()):
+            return None
+        aliases = {o.alias for o in n.items if isinstance(o, A.Aliased)}
+        owner = table.alias or table.name[0]
+        keys = [x.parts[-1] for x in g.items if isinstance(x, A.Name) and (len(x.parts) == 1 and not {x.parts[0]} & (made | aliases) or len(x.parts) == 2 and x.parts[0] == owner)]
+        if not keys or len(keys) == len(g.items):
+            return None
+        keys = [self.identifier(k) for k in keys]
+        count = self.spread(self.identifier(table.name[0]), keys)
+        return (table, f"/*+ REPARTITION({count}, {', '.join(keys)}) */") if count else None
 
     def p_FromQuery(self, n):
         self.free = self.outer_free
@@ -211,6 +242,8 @@ class SparkPrinter(Printer):
                 text += f" TABLESAMPLE (BUCKET {rest[0]} OUT OF {rest[1]})"
             else:
                 text += f" TABLESAMPLE ({rest[0]} {kind})"
+        if self.parts is not None and self.parts[0] is n:
+            text = f"(SELECT {self.parts[1]} * FROM {text})"
         alias = n.alias or (short if text.startswith("(") else None)
         return self.named(replace(n, alias=alias), text)
 
@@ -343,6 +376,7 @@ class SparkPrinter(Printer):
             n = replace(n, having=A.Binary("OR", A.Tuple([n.having]), A.Binary("=", A.Call("grouping_id", []), A.Lit(str((1 << len(n.group.items)) - 1)))))
         splits = self.splits(n)
         outside, self.rows = self.rows, ""
+        self.parts = self.parted(n)
         source = self(n.source) if n.source is not None else None  # first: it may name values
         where = self(n.where) if n.where is not None else None
         if splits:
@@ -525,13 +559,25 @@ def run(spark: SparkSession, text: str, dialect: str = "spark", variables: dict[
         joined.createOrReplaceTempView(view)
         return view
 
+    def spread(table: str, keys: list[str]) -> int | None:
+        """None if the table is small, or if rows of one key would make a part of their own."""
+        try:
+            rows = spark.table(table)
+        except AnalysisException:
+            return None  # the query itself says what is wrong
+        parts = -(-int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // PART_BYTES)
+        if parts < 2 or not {k.strip("`").lower() for k in keys} <= {c.lower() for c in rows.columns}:
+            return None
+        total, most = rows.groupBy(*keys).count().agg(F.sum("count"), F.max("count")).first()
+        return parts if total and most * 4 * parts <= total else None
+
     out = None
     for statement in parse(text, dialect):
         if isinstance(statement, A.Query):
             unused = [w for w, there in (("SETTINGS", getattr(statement, "settings", None)), ("FORMAT", statement.format and not statement.outfile)) if there]
             if unused:
                 warnings.warn(f"{' and '.join(unused)} without effect here", stacklevel=2)
-        sql = SparkPrinter(dialect, variables, keys, relation)(statement)
+        sql = SparkPrinter(dialect, variables, keys, relation, spread if isinstance(statement, A.Query) else None)(statement)
         out = spark.sql(sql)
         if isinstance(statement, A.Query) and statement.outfile:
             kind = {"": "csv", "csvwithnames": "csv", "jsoneachrow": "json", "tabseparated": "csv"}.get(statement.format.lower(), statement.format.lower())

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 
 from flowschema.sql import SqlError, parse, parse_one, to_sql
 from flowschema.sql import ast as A
+from flowschema.sql import lower
 from flowschema.sql.lower import run, Keys, to_spark_sql
 from flowschema.sql.parser import parse_with_text
 
@@ -170,3 +171,28 @@ def test_exact_aggregates_are_read_apart(spark):
 )
 def test_exact_aggregates_that_stay(text):
     assert "count(DISTINCT" in to_spark_sql(text, "clickhouse")
+
+
+def test_rows_meet_before_they_are_exploded(spark, tmp_path, monkeypatch):
+    """If the columns of the table spread its rows; the exploded rows then go through no shuffle. Equal results, with repeated and null keys."""
+    made = spark.range(0, 3000, 1, 4).selectExpr("nullif(id % 1000, 7) AS k", "id % 3 AS few", "concat_ws(' ', 'a', id % 5, 'a', id) AS text", "array(id % 2, id % 2, 9) AS xs")
+    made.write.parquet(str(tmp_path / "t"))
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("met")
+    apart = []
+    cases = [
+        ("spark", "SELECT k, w, count(*) AS n FROM met LATERAL VIEW explode(split(text, ' ')) t AS w GROUP BY k, w", True),
+        ("spark", "SELECT m.k, w, x, count(*) AS n FROM met m LATERAL VIEW OUTER explode(split(text, ' ')) t AS w LATERAL VIEW explode(xs) u AS x WHERE m.k > 5 AND w <> 'a' GROUP BY m.k, w, x", True),
+        ("clickhouse", "SELECT k, x, sum(few) AS n FROM met ARRAY JOIN xs AS x GROUP BY k, x", True),
+        ("spark", "SELECT few, w, count(*) AS n FROM met LATERAL VIEW explode(split(text, ' ')) t AS w GROUP BY few, w", False),
+        ("spark", "SELECT k, count(*) AS n FROM met LATERAL VIEW explode(split(text, ' ')) t AS w GROUP BY k", False),
+        ("spark", "SELECT k, w, count(*) AS n FROM met LATERAL VIEW explode(split(text, ' ')) t AS w GROUP BY k, w WITH ROLLUP", False),
+    ]
+    for size in (1 << 40, 2048):
+        monkeypatch.setattr(lower, "PART_BYTES", size)
+        for dialect, text, meets in cases:
+            out = run(spark, text, dialect)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("REPARTITION_BY_NUM" in plan) == (meets and size == 2048), text
+            assert plan.count("Exchange") == 1, text
+            apart.append(sorted(map(repr, out.collect())))
+    assert apart[: len(cases)] == apart[len(cases) :] and all(apart)
